@@ -24,6 +24,7 @@ from .common import Scratch
 from .components import components
 
 SHORT, MIDDLE = 10, 20
+SLOTS = 1 << 20
 
 
 def limit_of(length: Column) -> Column:
@@ -69,13 +70,17 @@ def read_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def line_links(lines: DataFrame) -> DataFrame:
+def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: ids of distinct lines within their edit limit. ``lines``: id, line, n."""
     index = lines.where(F.col("n") >= SHORT).select("id", F.explode(_entries(F.col("line"), F.col("n"))).alias("key"))
     probe = lines.where(F.col("n") >= SHORT).select("id", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
     met = index.alias("i").join(probe.alias("p"), F.col("i.key") == F.col("p.key")).where("i.id <> p.id")
     pairs = met.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
-    text = lines.select("id", "line", "n")
+    pairs = scratch.cut(pairs, "pairs")
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    slots = scratch.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).select(slot.alias("slot")).distinct(), "slots")
+    # At most SLOTS rows are broadcast; texts of lines that met no other stay where they are.
+    text = lines.join(F.broadcast(slots), slot == F.col("slot"), "left_semi").select("id", "line", "n")
     both = pairs.join(text.toDF("a", "la", "na"), "a").join(text.toDF("b", "lb", "nb"), "b")
     t = limit_of(F.least("na", "nb"))
     return both.where((F.abs(F.col("na") - F.col("nb")) <= t) & (F.levenshtein("la", "lb", 2).between(0, t))).select("a", "b")
@@ -87,7 +92,7 @@ def classify(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     name = [F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(11), F.col("line"), F.length("line")).alias("h1")]
     distinct = occ.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
     lines = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), *name), "lines")
-    links = scratch.cut(line_links(lines), "links")
+    links = scratch.cut(line_links(lines, scratch), "links")
     comps = scratch.cut(components(links, scratch), "comps")
     named = lines.select("id", "h0", "h1").join(comps, "id", "left").select("id", "h0", "h1", F.coalesce("component", "id").alias("class"))
     return occ.select("doc_id", "pos", *name).join(named, ["h0", "h1"]).select("doc_id", "pos", "id", "class"), links

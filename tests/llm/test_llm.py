@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessitura.llm import cotraining, decontaminate, extendible_dedup, kdtree_shards, line_join, lsh_forest, mixing, token_edits, toxicity, warc
-from tessitura.llm.common import text_buffer
+from tessitura.llm.common import Scratch, text_buffer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -249,7 +249,7 @@ def test_line_links_equal_brute_force(spark):
             lines.add("".join(t))
     lines = sorted(x for x in lines if x.strip())
     df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, line string, n int")
-    got = {tuple(r) for r in line_join.line_links(df).collect()}
+    got = {tuple(r) for r in line_join.line_links(df, Scratch(spark, "test")).collect()}
     limit = lambda n: 0 if n < 10 else 1 if n < 20 else 2
     want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and limit(min(len(a), len(b))) and edit_distance(a, b) <= limit(min(len(a), len(b)))}
     assert got == want and len(want) > 50
