@@ -17,6 +17,8 @@ are read as one text after the other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +67,38 @@ def _probes(line: Column, n: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+LETTERS = "etaoinsr"
+
+
+def letter_counts(line: Column, n: Column) -> Column:
+    """Counts, modulo 256, of eight letters in one number."""
+    held = [F.shiftleft(F.pmod(n - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(256)).cast("long"), 8 * j) for j, c in enumerate(LETTERS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), held)
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """Difference of two letter counts, summed: an edit changes it by two at most."""
+    one = lambda x, j: F.shiftrightunsigned(x, 8 * j).bitwiseAND(F.lit(255).cast("long"))
+    gap = lambda j: F.abs(one(a, j) - one(b, j))
+    return reduce(lambda x, y: x + y, [F.least(gap(j), 256 - gap(j)) for j in range(8)])
+
+
 def read_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line; lines of white space only are left out."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines within their edit limit. ``lines``: id, line, n."""
-    index = lines.where(F.col("n") >= SHORT).select("id", F.explode(_entries(F.col("line"), F.col("n"))).alias("key"))
-    probe = lines.where(F.col("n") >= SHORT).select("id", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
-    met = index.alias("i").join(probe.alias("p"), F.col("i.key") == F.col("p.key")).where("i.id <> p.id")
+    """(a, b), a < b: ids of distinct lines within their edit limit. ``lines``: id, line, n.
+
+    Entries carry the line's letter counts: lines that share a segment but differ by whole words, as
+    those of near copies do, part in the join itself and make no pair.
+    """
+    lines = lines.withColumn("letters", letter_counts(F.col("line"), F.col("n")))
+    long = lines.where(F.col("n") >= SHORT)
+    index = long.select("id", "letters", F.explode(_entries(F.col("line"), F.col("n"))).alias("key"))
+    probe = long.select("id", "letters", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
+    met = index.alias("i").join(probe.alias("p"), (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (letters_apart(F.col("i.letters"), F.col("p.letters")) <= 4))
     pairs = met.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
     pairs = scratch.cut(pairs, "pairs")
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
