@@ -89,12 +89,13 @@ def read_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines within their edit limit. ``lines``: id, line, n.
+    """(a, b), a < b: ids of distinct lines within their edit limit. ``lines``: id, line, n, and letters where they are known.
 
     Entries carry the line's letter counts: lines that share a segment but differ by whole words, as
     those of near copies do, part in the join itself and make no pair.
     """
-    lines = lines.withColumn("letters", letter_counts(F.col("line"), F.col("n")))
+    if "letters" not in lines.columns:
+        lines = lines.withColumn("letters", letter_counts(F.col("line"), F.col("n")))
     long = lines.where(F.col("n") >= SHORT)
     index = long.select("id", "letters", F.explode(_entries(F.col("line"), F.col("n"))).alias("key"))
     probe = long.select("id", "letters", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
@@ -115,7 +116,8 @@ def classify(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     occ = read_lines(docs)
     name = [F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(11), F.col("line"), F.length("line")).alias("h1")]
     distinct = occ.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
-    lines = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), *name), "lines")
+    sized = distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), *name)
+    lines = scratch.cut(sized.withColumn("letters", letter_counts(F.col("line"), F.col("n"))), "lines")
     links = scratch.cut(line_links(lines, scratch), "links")
     comps = scratch.cut(components(links, scratch), "comps")
     named = lines.select("id", "h0", "h1").join(comps, "id", "left").select("id", "h0", "h1", F.coalesce("component", "id").alias("class"))
