@@ -239,8 +239,8 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int =
     pos = np.full(len(few.size), -1)
     pos[pool] = np.arange(len(pool))
     x = np.empty((len(pool), len(mark) + 1))
-    for i in range(0, len(pool), 500):
-        x[i : i + 500, :-1] = embed(few.take(pool[i : i + 500])) @ mark.T @ root
+    for i in range(0, len(pool), 100):
+        x[i : i + 100, :-1] = embed(few.take(pool[i : i + 100])) @ mark.T @ root
     x[:, -1] = 1
     fold = root @ mark.astype(np.float64)
     inside = pos[word] >= 0
@@ -279,7 +279,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 500, max_clean: int = 1000) -> Model:
     rows = sample(docs, labels, max_toxic, max_clean).orderBy("doc_id").toArrow()
     return fit(rows["text"].to_pylist(), rows["toxic"].to_numpy())
 
