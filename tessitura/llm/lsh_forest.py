@@ -11,12 +11,17 @@
    task borders meet in a second pass over the border rows.
 4. Links are confirmed on full shingle sets, re-read from the texts. The first round uses four trees
    and next neighbours only; the second uses all trees, but only pairs whose ends are not yet
-   connected; rounds go on until one adds no link. So a group of n near copies costs O(n) pairs.
-5. Components by large-star/small-star, then every document gets its class's component.
+   connected. So a group of n near copies costs O(n) pairs.
+5. A region (the classes that share a tree's first four hashes) of more than ``reach`` + 1 members in
+   more than one component is then searched whole: its members are dealt into blocks of about ``BLOCK``,
+   and each pair of blocks is one group of rows that counts all its intersections on full sets. A component
+   with more members than that has blocks of its own, which never meet each other. Smaller regions were
+   met whole in step 3. Only links that join two components leave a group.
+6. Components by large-star/small-star, then every document gets its class's component.
 
 A pair at similarity s shares a tree's first four hashes with probability s^4, so at s = 0.8 all 32
-trees miss it with probability 5e-8. In a region with more than ``reach`` other members it must also
-be among the nearest by prefix in some tree. An exact link decision always comes from the full sets.
+trees miss it with probability 5e-8; every pair that shares them in some tree is either connected or
+compared. An exact link decision always comes from the full sets.
 
 Null, empty and white-space-only texts have no shingles and link with nothing. A null doc_id links
 with nothing and has a null component. Texts are read whole. Rows that repeat a doc_id are one node.
@@ -34,6 +39,7 @@ from .components import components
 
 HASHES, DEPTH, TREES = 128, 4, 32
 SLOTS = 1 << 20
+BLOCK = 384
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -229,25 +235,119 @@ def _looks_alike(threshold: int):
     return run
 
 
+def _full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
+    """(id, shingles) of the classes in ``ids`` (distinct), from the texts."""
+    wanted = scratch.cut(ids.join(classes.select("id", "set_a", "set_b"), "id"), f"{name}-wanted")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = scratch.cut(wanted.select(slot("id").alias("slot")).distinct(), f"{name}-slots")  # at most SLOTS rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
+    sets = texts.mapInArrow(_collect_sets(k), "doc_id long, set_a long, set_b long, shingles binary")
+    sets = sets.withColumnRenamed("doc_id", "id").join(wanted, ["id", "set_a", "set_b"], "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return scratch.cut(sets, f"{name}-sets")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int, scratch: Scratch, name: str) -> DataFrame:
     """(a, b, linked) for each pair that the signatures don't rule out."""
     g = classes.select("id", "sig")
     near = pairs.join(g.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b")
     near = scratch.cut(near.select("a", "b", "ga", "gb").mapInArrow(_looks_alike(threshold), "a long, b long"), f"{name}-near")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    wanted = scratch.cut(wanted.join(classes.select("id", "set_a", "set_b"), "id"), f"{name}-wanted")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = scratch.cut(wanted.select(slot("id").alias("slot")).distinct(), f"{name}-slots")  # at most SLOTS rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
-    sets = texts.mapInArrow(_collect_sets(k), "doc_id long, set_a long, set_b long, shingles binary")
-    sets = sets.withColumnRenamed("doc_id", "id").join(wanted, ["id", "set_a", "set_b"], "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.cut(sets, f"{name}-sets")
+    sets = _full_sets(wanted, classes, docs, k, scratch, name)
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     out = scratch.cut(full.select("a", "b", "sa", "sb").mapInArrow(_confirm(threshold), "a long, b long, linked boolean"), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-near", f"{name}-wanted", f"{name}-slots", f"{name}-found")
     return out
 
 
+def _open_regions(known: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
+    """(region, id, comp) of regions that hold pairs which no order has brought together.
+
+    Regions with the same members stand for the same pairs: one of them stays.
+    """
+    planted = known.mapInArrow(_plant(range(TREES)), "tree int, key long, deep long, id long, comp long, n long")
+    entries = planted.select(F.xxhash64("tree", "key").alias("region"), "id", "comp")
+    who = [F.sum(F.shiftright(F.xxhash64(F.lit(x), F.col("id")), 20)).alias(f"who{x}") for x in (0, 1)]
+    sizes = entries.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *who)
+    wide = sizes.where((F.col("m") > reach + 1) & (F.col("lo") < F.col("hi"))).groupBy("m", "who0", "who1").agg(F.min("region").alias("region"))
+    return scratch.cut(entries.join(scratch.cut(wide.select("region"), "regions"), "region"), "members")
+
+
+def _units(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, side, id, comp): each pair of blocks of a region is a unit; a block that meets itself has side 0 only."""
+    per = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c"))
+    rest = per.where(F.col("c") <= BLOCK).groupBy("region").agg(F.sum("c").alias("rest"))
+    own = F.col("c") > BLOCK
+    parts = F.ceil(F.when(own, F.col("c")).otherwise(F.col("rest")) / BLOCK)
+    block = F.struct(own.alias("own"), F.when(own, F.col("comp")).otherwise(F.lit(0)).alias("owner"), F.pmod(F.xxhash64("id"), parts).alias("part"))
+    rows = members.join(per, ["region", "comp"]).join(rest, "region", "left").select("region", block.alias("block"), "id", "comp")
+    rows = scratch.cut(rows, "blocks")
+    blocks = rows.select("region", "block").distinct()
+    x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
+    one = F.col("x.own") & F.col("y.own") & (F.col("x.owner") == F.col("y.owner"))
+    units = scratch.cut(x.join(y, "region").where((F.col("x") <= F.col("y")) & ~one).withColumn("unit", F.monotonically_increasing_id()), "units")
+    right = units.where("x <> y").select("region", F.col("y").alias("block"), "unit", F.lit(1).alias("side"))
+    sides = units.select("region", F.col("x").alias("block"), "unit", F.lit(0).alias("side")).unionByName(right)
+    return sides.join(rows, ["region", "block"]).select("unit", "side", "id", "comp")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    sets, n = [*left, *right], len(left)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = times[col] > 1
+    row, col = row[again], (np.cumsum(times > 1) - 1)[col[again]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((n, len(right)), np.int64)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, [first, first + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[a:b], col[a:b] - first] = 1
+        both += np.rint(has[:n] @ has[n:].T).astype(np.int64)
+    return both
+
+
+def _joins(threshold: int):
+    """Links of a unit that join components, as few as connect them."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        side, ids, comp = (unit.column(c).to_numpy() for c in ("side", "id", "comp"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in unit.column("shingles")]
+        n = np.array([len(s) for s in sets])
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        a, b = [], []
+        if len(left):
+            both = _common([sets[i] for i in left], [sets[j] for j in right])
+            linked = (100 * both >= threshold * (n[left][:, None] + n[right] - both)) & (comp[left][:, None] != comp[right])
+            root: dict[int, int] = {}
+
+            def find(x):
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                return x
+
+            for i, j in np.argwhere(linked):
+                i, j = left[i], right[j]
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[x] = y
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _missed(known: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int, reach: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between components in regions wider than the orders' reach, enough to connect what is linked there."""
+    members = _open_regions(known, reach, scratch)
+    sets = _full_sets(members.select("id").distinct(), classes, docs, k, scratch, "wide")
+    rows = _units(members, scratch).join(sets, "id").select("unit", "side", "id", "comp", "shingles")
+    return scratch.cut(rows.groupBy("unit").applyInArrow(_joins(threshold), "a long, b long").distinct(), "missed")
+
+
 def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80, reach: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. Similarity is Jaccard on k-word shingles, in per cent."""
     spark = docs.sparkSession
@@ -258,23 +358,23 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80, reach: int = 4
     classes = scratch.cut(group, "classes")
     edges, comps, tried = None, None, None
     # A doc_id that is repeated with different texts ties its classes together.
-    turn, plan = 0, [(range(0, 4), 1), (range(TREES), reach)]
-    while True:
-        trees, far = plan[min(turn, len(plan) - 1)]
-        known = classes.withColumn("comp", F.col("id")) if comps is None else classes.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    known = classes.withColumn("comp", F.col("id"))
+    for turn, (trees, far) in enumerate([(range(0, 4), 1), (range(TREES), reach)]):
         pairs = _candidates(known, trees, far, threshold, scratch, f"round{turn}")
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = _links(pairs, classes, lean, k, threshold, scratch, f"round{turn}")
         tried = done if tried is None else tried.unionByName(done)
         new = done.where("linked").select("a", "b")
-        fresh = not new.isEmpty()
-        if fresh:
+        if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             comps = scratch.cut(components(edges, scratch, f"cc{turn}"), f"components{turn}")
-        turn += 1
-        if turn >= len(plan) and not fresh:
-            break
+            known = classes.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    new = _missed(known, classes, lean, k, threshold, reach, scratch)
+    if not new.isEmpty():
+        edges = new if edges is None else edges.unionByName(new)
+        comps = scratch.cut(components(edges, scratch, "cc-missed"), "components-missed")
+    scratch.drop("regions", "members", "blocks", "units", "wide-sets", "wide-wanted", "wide-slots")
     out = signed.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"], "left")
     if comps is not None:
         out = out.join(comps, "id", "left")

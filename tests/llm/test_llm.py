@@ -139,6 +139,37 @@ def test_forest_equals_brute_force(docs, k):
     assert got == brute_groups([(r[0], r[1]) for r in corpus()], k, 80)
 
 
+def dense_family():
+    """500 variants of one text (0.799 at most) and 60 edited copies, each at 0.81 or more to one variant only."""
+    rng, codes, copies = np.random.default_rng(5), np.zeros((0, 35), int), []
+    while len(codes) < 500:
+        c = np.zeros(35, int)
+        c[rng.choice(35, 5, replace=False)] = 1
+        if not len(codes) or (codes != c).sum(1).min() >= 4:
+            codes = np.vstack([codes, c])
+    while len(copies) < 60:
+        c = codes[int(rng.integers(500))].copy()
+        c[rng.choice(35, 3, replace=False)] ^= 1
+        if ((codes != c).sum(1) <= 3).sum() == 1 and all((x != c).sum() >= 4 for x in copies):
+            copies.append(c)
+    for i, c in enumerate([*codes, *copies]):
+        w = [f"w{j}" for j in range(146)]
+        for s in np.flatnonzero(c):
+            w[3 + 4 * s] = f"v{s}"
+        if i >= 500:
+            w[2] = "z"
+        yield i, " ".join(w), "en", "s", 1
+
+
+@pytest.mark.parametrize("block", [384, 50])
+def test_forest_searches_dense_regions_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(lsh_forest, "BLOCK", block)
+    base = [f"w{j}" for j in range(146)]
+    rows = [*dense_family(), *[(2000 + i, " ".join([*base, f"e{i}"]), "en", "s", 1) for i in range(120)]]  # the last: one large component
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in lsh_forest.near_groups(spark.createDataFrame(rows, DOCS), 4, reach=1).collect()}
+    assert got == brute_groups([(r[0], r[1]) for r in rows], 4, 80)
+
+
 def test_forest_edges(spark, none):
     assert lsh_forest.near_groups(none).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f", "", "", 0), (1, "a b c d e f", "", "", 0), (1, "a b c d e f", "", "", 0)], DOCS)
