@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; a folder of our own only where none is set and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own.get("dir")
         if not base:
             base = _own["dir"] = tempfile.mkdtemp(prefix="tessitura-shared-")
@@ -69,6 +72,17 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each group of rows that agree in ``keys`` (nulls agree): that with the least hash of its columns.
+
+    Aggregated map-side, so a row repeated a million times is one row a task before the shuffle.
+    """
+    mine = rows.columns
+    plain = [F.col(c) for c, kind in rows.dtypes if not re.search(r"map<|variant|void", kind)]
+    packed = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.xxhash64(*plain).alias("__turn"), F.struct(*mine).alias("__row"))
+    return packed.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.min_by("__row", "__turn").alias("__row")).select("__row.*")
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -94,11 +108,9 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[_SPACE] = 0
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_POWER = np.empty(4096, np.uint64)
-_POWER[0] = 1
+BLOCK_BYTES = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-for _i in range(1, 4096):
-    _POWER[_i] = (int(_POWER[_i - 1]) * int(_STEP)) & 0xFFFFFFFFFFFFFFFF
+_PLACES = _rng.integers(1, 1 << 63, BLOCK_BYTES, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -145,16 +157,32 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def run_hashes(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of ``values``: run i starts at begins[i] and has sizes[i] numbers; between runs stand zeros.
+
+    Each number is weighted by its place in a block of BLOCK_BYTES. A longer run's blocks are hashed
+    apart, each with its number, so blocks that change places change the hash.
+    """
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    blocks = np.maximum(1, -(-sizes // BLOCK_BYTES))
+    head = np.cumsum(blocks) - blocks
+    turn = np.arange(int(blocks.sum())) - np.repeat(head, blocks)
+    at = np.repeat(begins, blocks) + turn * BLOCK_BYTES
+    place = np.arange(len(values), dtype=np.int64)
+    base = np.zeros(len(values), np.int64)
+    base[at] = at
+    place -= np.maximum.accumulate(base)
+    np.minimum(place, BLOCK_BYTES - 1, out=place)  # zeros after a run may reach further
+    sums = np.add.reduceat(values * _PLACES[place], at)
+    long = np.repeat(blocks > 1, blocks)
+    sums[long] = mix(sums[long] + (turn[long].astype(np.uint64) + np.uint64(1)) * _STEP)
+    return mix(np.add.reduceat(sums, head) + sizes.astype(np.uint64) * _STEP)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    rel = np.arange(len(raw), dtype=np.int64)
-    base = np.zeros(len(raw), np.int64)
-    base[starts] = starts
-    rel -= np.maximum.accumulate(base)
-    values = (_LOWER if lower else _BYTE)[raw] * _POWER[rel & 4095]
-    return mix(np.add.reduceat(values, starts) + (ends - starts).astype(np.uint64) * _STEP)
+    return run_hashes((_LOWER if lower else _BYTE)[raw], starts, ends - starts)
 
 
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _POWER, mix, pieces, text_buffer, words
+from .common import pieces, run_hashes, text_buffer, words
 
 LETTERS, DECAY, SPAN = 32, 0.6, 6
 DIM = LETTERS**3
@@ -90,8 +90,7 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     head = np.flatnonzero(new)
     size, text, begin = np.add.reduceat(n, head), text[head], upto[starts[head]]
     flat = cls[solid]
-    rel = np.arange(len(flat)) - np.repeat(begin, size)
-    key = mix(np.add.reduceat(_LETTER[flat] * _POWER[rel & 4095], begin) + size.astype(np.uint64))
+    key = run_hashes(_LETTER[flat], begin, size)
     _, at, back = np.unique(key, return_index=True, return_inverse=True)
     return Words(flat, begin, size).take(at), back, text
 
