@@ -1,7 +1,7 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 1. One scan hashes each document's shingle set and its 128-hash signature. Documents with equal sets
-   collapse into one class (its least doc_id), so copies never multiply candidates.
+   collapse into one class, so copies never multiply candidates.
 2. ``TREES`` trees order the classes by different runs of the signature. A tree is one
    range-partitioned sort by (tree, first four hashes, next four, id): a region with many members
    is spread over tasks, since the id is part of the order.
@@ -24,7 +24,8 @@ trees miss it with probability 5e-8; every pair that shares them in some tree is
 compared. An exact link decision always comes from the full sets.
 
 Null, empty and white-space-only texts have no shingles and link with nothing. A null doc_id links
-with nothing and has a null component. Texts are read whole. Rows that repeat a doc_id are one node.
+with nothing and has a null component. Texts are read whole. Rows that repeat a doc_id are one node: if their
+texts differ, the classes of these are tied together. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, pieces, shingle_sets, text_buffer
+from .common import Scratch, mix, one_row_each, pieces, shingle_sets, text_buffer
 from .components import components
 
 HASHES, DEPTH, TREES = 128, 4, 32
@@ -236,13 +237,13 @@ def _looks_alike(threshold: int):
 
 
 def _full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
-    """(id, shingles) of the classes in ``ids`` (distinct), from the texts."""
-    wanted = scratch.cut(ids.join(classes.select("id", "set_a", "set_b"), "id"), f"{name}-wanted")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = scratch.cut(wanted.select(slot("id").alias("slot")).distinct(), f"{name}-slots")  # at most SLOTS rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
+    """(id, shingles) of the classes in ``ids`` (distinct), from the texts of their least documents."""
+    wanted = scratch.cut(ids.join(classes.select("id", F.col("least").alias("doc_id"), "set_a", "set_b"), "id"), f"{name}-wanted")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = scratch.cut(wanted.select(slot.alias("slot")).distinct(), f"{name}-slots")  # at most SLOTS rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
     sets = texts.mapInArrow(_collect_sets(k), "doc_id long, set_a long, set_b long, shingles binary")
-    sets = sets.withColumnRenamed("doc_id", "id").join(wanted, ["id", "set_a", "set_b"], "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = sets.join(wanted, ["doc_id", "set_a", "set_b"]).groupBy("id").agg(F.first("shingles").alias("shingles"))  # all of one id are equal
     return scratch.cut(sets, f"{name}-sets")
 
 
@@ -348,16 +349,20 @@ def _missed(known: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thres
     return scratch.cut(rows.groupBy("unit").applyInArrow(_joins(threshold), "a long, b long").distinct(), "missed")
 
 
-def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80, reach: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 4, threshold: int = 80, reach: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. Similarity is Jaccard on k-word shingles, in per cent."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "forest")
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.cut(lean.mapInArrow(_sign(k), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "signed")
-    group = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = scratch.cut(group, "classes")
-    edges, comps, tried = None, None, None
+    group = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = scratch.cut(group.withColumn("id", F.monotonically_increasing_id()), "classes")
+    named = scratch.cut(signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "id", "least"), ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "id", "least"), "named")
     # A doc_id that is repeated with different texts ties its classes together.
+    several = named.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a < hi").select("doc_id", "a")
+    ties = scratch.cut(named.join(scratch.cut(several, "several"), "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct(), "ties")
+    comps, tried = None, None
+    edges = None if ties.isEmpty() else ties
     known = classes.withColumn("comp", F.col("id"))
     for turn, (trees, far) in enumerate([(range(0, 4), 1), (range(TREES), reach)]):
         pairs = _candidates(known, trees, far, threshold, scratch, f"round{turn}")
@@ -368,6 +373,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80, reach: int = 4
         new = done.where("linked").select("a", "b")
         if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
+        if edges is not None:
             comps = scratch.cut(components(edges, scratch, f"cc{turn}"), f"components{turn}")
             known = classes.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     new = _missed(known, classes, lean, k, threshold, reach, scratch)
@@ -375,17 +381,25 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80, reach: int = 4
         edges = new if edges is None else edges.unionByName(new)
         comps = scratch.cut(components(edges, scratch, "cc-missed"), "components-missed")
     scratch.drop("regions", "members", "blocks", "units", "wide-sets", "wide-wanted", "wide-slots")
-    out = signed.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"], "left")
+    out, label = named, F.col("least")
     if comps is not None:
-        out = out.join(comps, "id", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    mine = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
-    comp = F.when(F.col("doc_id").isNotNull(), mine)
+        least = comps.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("label"))
+        labels = scratch.cut(comps.join(scratch.cut(least, "least"), "component").select("id", "label"), "labels")
+        out, label = named.join(labels, "id", "left"), F.coalesce("label", "least")
+    comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, label).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """The documents that stay: of each group the one with the least doc_id. Columns unchanged."""
-    gone = near_groups(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+def keep_one(docs: DataFrame, k: int = 4, threshold: int = 80) -> DataFrame:
+    """The documents that stay: of each group one row, with the least doc_id. Columns unchanged.
+
+    Rows that repeat a doc_id stay or go together; of those with the same text one row stays, so no text is lost.
+    Rows without doc_id all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near-ids")
+    got = near_groups(docs, k, threshold).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+    odd = scratch.cut(got.where("not kept OR times > 1").select(F.col("doc_id").alias("__id"), "kept"), "odd")
+    plain = docs.join(odd, docs["doc_id"] == F.col("__id"), "left_anti")
+    several = docs.join(odd.where("kept").select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return plain.unionByName(one_row_each(several.withColumn("__text", digest), ["doc_id", "__text"]).drop("__text"))
