@@ -1,7 +1,8 @@
 """Sharding by a K-d tree over document metadata (native).
 
-Every row has one 44-bit key per dimension (source, language, size): 20 bits of the value, then 24
-bits of a hash of its id and text, so equal values can be parted anywhere. A node with k shards to
+Every row has one 44-bit key per dimension (source, language, size): 20 bits of the value (names by a hash: they have no
+order), then 24 bits of a hash of its id, text and, among rows equal in these, its number, so equal values and equal rows can
+be parted anywhere. Equal rows are counted map-side and numbered from the count. A node with k shards to
 give is split on its widest dimension at the weighted quantile floor(k/2)/k of its bytes. The quantile is
 found for all nodes of a level at once by histograms that zoom in: one aggregate of at most
 ``HISTOGRAM_ROWS`` rows per pass, summed map-side, whatever the number of documents. The
@@ -10,8 +11,9 @@ themselves are never sorted, and no split moves a text.
 
 Error: a split stops within ``TOLERANCE`` of its node's bytes or one key, so shards are near equal
 unless single documents are larger than that. Null text has 0 bytes (size 16) and crc 0; null
-source, lang or doc_id are values of their own. Rows equal in all of them and in text stay
-together. An empty table gives an empty result; fewer documents than shards leave shards empty.
+source, lang or doc_id are values of their own. Reruns agree. A caller's columns named shard or slot are kept:
+the new ones then get a trailing underscore. An empty table gives an empty result; fewer documents than shards
+leave shards empty.
 """
 
 from __future__ import annotations
@@ -46,12 +48,24 @@ def row_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def dimension_keys(docs: DataFrame) -> list[Column]:
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    tie = F.xxhash64(F.col("doc_id"), crc).bitwiseAND(F.lit((1 << TIE) - 1))
-    name = lambda c: F.shiftright(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))), 32 - VALUE)
+def dimension_values(docs: DataFrame) -> list[Column]:
+    """v0 (source), v1 (lang), v2 (size, logarithmic): 20 bits each."""
+    name = lambda c: F.shiftright(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))), 32 - VALUE).cast("long")
     log_size = F.floor(F.least(F.log2(row_size(F.col("text")).cast("double")) / 40.0, F.lit(0.999999)) * (1 << VALUE)).cast("long")
-    return [F.shiftleft(v.cast("long"), TIE).bitwiseOR(tie) for v in (name("source"), name("lang"), log_size)]
+    return [name("source").alias("v0"), name("lang").alias("v1"), log_size.alias("v2")]
+
+
+KEYS = ["k0", "k1", "k2"]
+ROW = ["doc_id", "size", "text_crc32", "same"]  # rows that agree in these (and in source and lang) are told apart by turn
+
+
+def keyed_rows(docs: DataFrame, same: Column) -> DataFrame:
+    """ROW, turn (1 .. the number of equal rows) and KEYS, one row for each row of docs. ``same``: a hash of further columns."""
+    read = docs.select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), same.alias("same"), *dimension_values(docs))
+    counted = read.groupBy(*ROW, "v0", "v1", "v2").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    tie = F.xxhash64("doc_id", "text_crc32", "same", "turn").bitwiseAND(F.lit((1 << TIE) - 1))
+    return rows.select(*ROW, "turn", *[F.shiftleft(F.col(f"v{i}"), TIE).bitwiseOR(tie).alias(k) for i, k in enumerate(KEYS)])
 
 
 def _walk(tree: list[Node], keys: list[Column], at: int = 0) -> Column:
@@ -142,19 +156,19 @@ def shard_column(tree: list[Node], keys: list[Column]) -> Column:
     return F.get(first, leaf)
 
 
-def with_slots(rows: DataFrame, scratch: Scratch, tie: str, per_group: int = 50_000) -> DataFrame:
-    """Adds slot, gapless from 0 within shard, from counts of (shard, group) and ranks inside a group.
+def with_slots(rows: DataFrame, scratch: Scratch, order: list[str], per_group: int = 50_000) -> DataFrame:
+    """Adds slot, gapless from 0 within shard, from counts of (shard, group) and ranks inside a group by ``order``, which tells all rows apart.
 
     Groups hold about ``per_group`` rows, so no task sorts a whole shard however large it is.
     """
     counts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.agg(F.max("n")).first()[0] or 0
     groups = max(8, -(-largest // per_group))
-    grouped = rows.withColumn("__group", F.pmod(F.xxhash64(tie), F.lit(groups)))
+    grouped = rows.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     held = grouped.groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("__n"))
     up = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = scratch.cut(held.select("shard", "__group", F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__start")), "starts")
-    rank = F.row_number().over(Window.partitionBy("shard", "__group").orderBy(tie))
+    rank = F.row_number().over(Window.partitionBy("shard", "__group").orderBy(*order))
     return grouped.withColumn("__rank", rank - 1).join(starts, ["shard", "__group"]).withColumn("slot", (F.col("__start") + F.col("__rank")).cast("long")).drop("__group", "__rank", "__start")
 
 
@@ -165,25 +179,30 @@ def plan_tree(rows: DataFrame, keys: list[str], shards: int | None, target_bytes
     return grow(rows, keys, int(shards))
 
 
+def _placed(docs: DataFrame, same: Column, shards: int | None, target_bytes: int | None, scratch: Scratch) -> DataFrame:
+    """ROW, turn, shard and slot, one row for each row of docs."""
+    rows = scratch.cut(keyed_rows(docs, same), "rows")
+    tree = plan_tree(rows, KEYS, shards, target_bytes)
+    placed = scratch.cut(rows.select(*ROW, "turn", shard_column(tree, [F.col(k) for k in KEYS]).cast("int").alias("shard")), "placed")
+    return with_slots(placed, scratch, [*ROW, "turn"])
+
+
 def shard_report(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
-    scratch = Scratch(docs.sparkSession, "shards")
-    keys = dimension_keys(docs)
-    names = [f"k{i}" for i in range(len(keys))]
-    rows = scratch.cut(docs.select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), *[k.alias(n) for k, n in zip(keys, names)]), "rows")
-    tree = plan_tree(rows, names, shards, None)
-    placed = rows.select("doc_id", "size", "text_crc32", "k0", shard_column(tree, [F.col(n) for n in names]).alias("shard"))
-    placed = scratch.cut(placed, "placed")
-    return with_slots(placed, scratch, "k0").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    got = _placed(docs, F.lit(0).cast("long"), shards, None, Scratch(docs.sparkSession, "shards"))
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """``docs`` with shard and slot. The tree is grown on a narrow table; texts move once, to their shard."""
+    """``docs`` with shard and slot. Both are found on narrow rows; texts move once, to meet their places.
+
+    Rows that are equal throughout collapse map-side and take as many places as they are.
+    """
     scratch = Scratch(docs.sparkSession, "shards")
-    keys = dimension_keys(docs)
-    names = [f"k{i}" for i in range(len(keys))]
-    rows = scratch.cut(docs.select(row_size(F.col("text")).alias("size"), *[k.alias(n) for k, n in zip(keys, names)]), "rows")
-    tree = plan_tree(rows, names, shards, target_bytes)
-    mine = [c for c in docs.columns if c not in ("shard", "slot")]
-    placed = docs.select(*mine, shard_column(tree, keys).cast("int").alias("shard"), keys[0].alias("__tie"))
-    return with_slots(placed, scratch, "__tie").select(*mine, "shard", "slot")
+    mine = docs.columns
+    same = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    places = _placed(docs, same, shards, target_bytes, scratch).select("same", "size", "text_crc32", "shard", "slot")
+    key = [same.alias("same"), row_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32")]
+    whole = docs.select(*key, F.struct(*mine).alias("row")).groupBy("same", "size", "text_crc32").agg(F.first("row").alias("row"))
+    free = lambda name: free(name + "_") if name in mine else name
+    return whole.join(places, ["same", "size", "text_crc32"]).select("row.*", F.col("shard").alias(free("shard")), F.col("slot").alias(free("slot")))
