@@ -8,12 +8,13 @@ any other. The table of sources is joined by Spark's own size check (it is read
 written table, so its size is known), never by a forced broadcast.
 
 Null text has size 0; null source is a source of its own, sorted last. Rows that repeat a doc_id
-share one decision. An empty table gives an empty result.
+share one draw; rows without doc_id draw by their text. Other columns are kept by ``mix`` and ignored by the report. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, n_words, unit
@@ -48,16 +49,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return least.select("source", "source_size", F.least(cap, F.col("water") * F.col("weight")).alias("target"))
 
 
+def chance(seed: str) -> Column:
+    """A document's draw: from its id, or where it has none from its text."""
+    return unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
+
+
 def decide(docs: DataFrame, scratch: Scratch, seed: str = "mix", **law) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) for every row of documents."""
-    sizes = scratch.cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sizes = scratch.cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), chance(seed).alias("chance")), "sizes")
     goal = scratch.cut(targets(sizes, **law), "targets").withColumnRenamed("source", "goal_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
         sizes.join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left")
         .drop("goal_source")
         .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (unit(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+        .withColumn("copies", (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
     )
 
 
@@ -77,14 +83,14 @@ def mix(docs: DataFrame, seed: str = "mix", **law) -> DataFrame:
     sizes = scratch.cut(docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     goal = scratch.cut(targets(sizes, **law), "targets")
     goal = goal.select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    copies = F.floor("__rate") + (unit(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
+    copies = F.floor("__rate") + (chance(seed) < F.col("__rate") - F.floor("__rate")).cast("long")
     joined = docs.join(goal, F.col("source").eqNullSafe(F.col("__source")), "left")
     times = F.sequence(F.lit(1), copies.cast("int"))
     return joined.withColumn("__copy", F.explode(F.when(copies >= 1, times))).select(*[docs[c] for c in docs.columns])
 
 
 REPORT_SQL = """
-WITH s AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
+WITH s AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS draw, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
 b AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 r AS (SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM b),
 q AS (SELECT *, (2 * source_size)::DOUBLE / weight::DOUBLE AS ratio FROM r),
@@ -96,7 +102,7 @@ l AS (SELECT *, (1.5::DOUBLE * all_size - filled) / (all_weight - gone) AS level
 w AS (SELECT *, max(level) OVER () AS water FROM l),
 t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, water * weight) AS target FROM w),
 j AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-  ('0x' || md5('mix|' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  ('0x' || md5('mix|' || draw)[1:13])::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM j)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM k
