@@ -399,13 +399,61 @@ def alternate_key(segments, primary: int, least: float = 0.25):
 
 def match_events(reference, detected, tolerance: float) -> tuple[int, int, int]:
     """(matched, missed, extra): each reference in turn takes the nearest free detection within tolerance."""
-    free, hit = list(range(len(detected))), 0
+    where = np.argsort(np.asarray(detected, float), kind="stable")
+    times = np.asarray(detected, float)[where]
+    free, hit = np.ones(len(times), bool), 0
     for r in reference:
-        near = [(abs(detected[i] - r), i) for i in free if abs(detected[i] - r) <= tolerance]
+        # Only the detections within tolerance are looked at, whatever their number elsewhere.
+        a, b = np.searchsorted(times, r - 2 * tolerance), np.searchsorted(times, r + 2 * tolerance, "right")
+        near = [(abs(times[i] - r), where[i], i) for i in range(a, b) if free[i] and abs(times[i] - r) <= tolerance]
         if near:
-            free.remove(min(near)[1])
+            free[min(near)[2]] = False
             hit += 1
-    return hit, len(reference) - hit, len(free)
+    return hit, len(reference) - hit, int(free.sum())
+
+
+def assign_downbeats(times, activation, hop: int, rate: int) -> np.ndarray:
+    """Position in the bar (1..4) of each beat: the phase whose beats have most activation, the first of equals; under four beats, by turn."""
+    n = len(times)
+    if n < 4:
+        return np.arange(n) % 4 + 1
+    frame = (np.asarray(times) * rate / hop).astype(int)
+    level = np.where(frame < len(activation), np.append(activation, 0.0)[np.minimum(frame, len(activation))], 0.0)
+    phase = int(np.argmax([level[p::4].sum() for p in range(4)]))
+    return (np.arange(n) + 4 - phase) % 4 + 1
+
+
+# ---- waveform columns -----------------------------------------------------------------------
+
+
+def time_balance(x: np.ndarray) -> float:
+    level = np.abs(x).sum()
+    if len(x) < 2 or level <= EPS:
+        return 0.5
+    return 0.7 * min(1.0, np.abs(np.diff(x)).sum() / (2 * level)) + 0.3 * float(((x[1:] >= 0) != (x[:-1] >= 0)).mean())
+
+
+def spectral_balance(x: np.ndarray, rate: int, bands: int = 8) -> float:
+    """Energy-weighted place, 0 to 1, among log-spaced bands from 80 Hz."""
+    if len(x) < 2:
+        return 0.5
+    top = min(max(rate / 2, 80.0), 10_000.0)
+    if rate == 0 or top <= 80.0:
+        return time_balance(x)
+    spot = np.arange(bands) / (bands - 1)
+    t = np.arange(len(x))
+    turn = 2 * np.pi * (80.0 * (top / 80.0) ** spot) / rate
+    energy = np.abs(np.exp(-1j * turn[:, None] * t) @ (x * (0.5 - 0.5 * np.cos(2 * np.pi * t / max(len(x) - 1, 1))))) ** 2
+    return float(np.clip((energy * spot).sum() / energy.sum(), 0, 1)) if energy.sum() > 2.220446049250313e-16 else time_balance(x)
+
+
+def display_heights(peak: np.ndarray, rms: np.ndarray) -> np.ndarray:
+    """Root of peak times rms over its 95th percentile (half the largest at least), to the power 0.6."""
+    energy = np.where((peak <= EPS) | (rms <= EPS), 0.0, np.sqrt(peak * rms))
+    if not len(energy) or energy.max() <= EPS:
+        return np.zeros(len(energy))
+    top = max(np.sort(energy)[int(np.floor((len(energy) - 1) * 0.95 + 0.5))], energy.max() * 0.5)
+    return np.where(energy <= EPS, 0.0, np.clip(energy / top, 0, 1) ** 0.6)
 
 
 def pick_peaks(x: np.ndarray, threshold: float, hop: int, rate: int = 44100) -> list[int]:

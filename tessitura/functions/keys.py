@@ -80,7 +80,11 @@ def key_relation(expected: Column, detected: Column) -> Column:
 
 
 def mirex_score(expected: Column, detected: Column) -> Column:
-    r = key_relation(expected, detected)
+    return score_of(key_relation(expected, detected))
+
+
+def score_of(r: Column) -> Column:
+    """The weight of a key relation; null for none."""
     return F.when(r.isNotNull(), F.when(r == "exact", 1.0).when(r == "fifth", 0.5).when(r == "relative", 0.3).when(r == "parallel", 0.2).otherwise(0.0)).cast("double")
 
 

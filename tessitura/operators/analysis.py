@@ -6,6 +6,8 @@ Failures are a column (``error``), never a failed job.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ def _struct(**fields) -> T.StructType:
 KEY = _struct(tonic=_s, mode=_s)
 BEAT = _struct(version=_i, global_bpm=_d, display_bpm=_d, display_bpm_decimals=_i, confidence=_d, beats=T.ArrayType(_struct(time_seconds=_d, confidence=_d, position_in_bar=_i)), tempo_segments=T.ArrayType(_struct(start_seconds=_d, end_seconds=_d, bpm=_d, confidence=_d)), multi_tempo=_b, alternate_bpm=_d, alternate_coverage=_d)
 KEYS = _struct(version=_i, key=KEY, confidence=_d, estimator=_s, dsp_key=KEY, chroma=T.ArrayType(_d), segments=T.ArrayType(_struct(start_seconds=_d, end_seconds=_d, key=KEY, confidence=_d)), multi_key=_b, alternate_key=KEY, alternate_coverage=_d)
-WAVE = _struct(version=_i, sample_rate=_i, source_samples=T.LongType(), columns=T.ArrayType(_struct(min=_d, max=_d, rms=_d)))
+WAVE = _struct(version=_i, sample_rate=_i, source_samples=T.LongType(), columns=T.ArrayType(_struct(min=_d, max=_d, rms=_d, display_height=_d, spectral_centroid=_d)))
 ANALYSIS = _struct(version=_i, duration_seconds=_d, beat=BEAT, key=KEYS, waveform=WAVE)
 
 
@@ -84,29 +86,58 @@ def analyze_wave(x: np.ndarray, rate: int, target: int = 1500) -> dict:
     n = len(x)
     c = min(target, n)
     cut = np.arange(c + 1) * n // max(c, 1)
-    cols = [{"min": float(p.min()), "max": float(p.max()), "rms": float(np.sqrt((p * p).mean()))} for p in (x[a : max(b, a + 1)] for a, b in zip(cut[:-1], cut[1:]))]
+    parts = [x[a : max(b, a + 1)] for a, b in zip(cut[:-1], cut[1:])]
+    rms = [float(np.sqrt((p * p).mean())) for p in parts]
+    heights = K.display_heights(np.array([np.abs(p).max() for p in parts]), np.array(rms)) if parts else []
+    cols = [{"min": float(p.min()), "max": float(p.max()), "rms": r, "display_height": float(h), "spectral_centroid": K.spectral_balance(p, rate)} for p, r, h in zip(parts, rms, heights)]
     return {"version": 1, "sample_rate": rate, "source_samples": n, "columns": cols}
 
 
-def analyze_samples(x: np.ndarray, rate: int, columns: int = 1500) -> dict:
-    return {"version": 1, "duration_seconds": len(x) / rate if rate else 0.0, "beat": analyze_beats(x, rate), "key": analyze_key(x, rate), "waveform": analyze_wave(x, rate, columns)}
+def analyze_samples(x: np.ndarray, rate: int, columns: int = 1500, times: dict | None = None) -> dict:
+    """The whole record; ``times`` gets the milliseconds of each part."""
+
+    def clocked(name, f, *args):
+        start = time.perf_counter()
+        out = f(*args)
+        if times is not None:
+            times[name] = (time.perf_counter() - start) * 1000
+        return out
+
+    return {
+        "version": 1, "duration_seconds": len(x) / rate if rate else 0.0, "beat": clocked("beat_analysis_milliseconds", analyze_beats, x, rate), "key": clocked("key_analysis_milliseconds", analyze_key, x, rate),
+        "waveform": clocked("waveform_analysis_milliseconds", analyze_wave, x, rate, columns),
+    }
+
+
+PARTS = ("beat_analysis_milliseconds", "key_analysis_milliseconds", "waveform_analysis_milliseconds")
+
 
+def analyze(tracks: DataFrame, columns: int = 1500, timed: bool = False) -> DataFrame:
+    """tracks: track_id, samples (array of float), sample_rate. Returns track_id, analysis, error.
 
-def analyze(tracks: DataFrame, columns: int = 1500) -> DataFrame:
-    """tracks: track_id, samples (array of float), sample_rate. Returns track_id, analysis, error."""
-    schema = T.StructType([tracks.schema["track_id"], T.StructField("analysis", ANALYSIS), T.StructField("error", _s)])
+    With ``timed``: also the milliseconds of decoding (passed through), of each part and of all parts; ``decode_error`` is passed on as the error.
+    """
+    more = ["decode_milliseconds", "analysis_milliseconds", *PARTS] if timed else []
+    schema = T.StructType([tracks.schema["track_id"], T.StructField("analysis", ANALYSIS), T.StructField("error", _s), *[T.StructField(c, _d) for c in more]])
+    names = ["track_id", "samples", "sample_rate", *[c for c in ("decode_milliseconds", "decode_error") if timed and c in tracks.columns]]
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for tid, x, rate in zip(pdf["track_id"], pdf["samples"], pdf["sample_rate"]):
+            for r in pdf.to_dict("records"):
+                times: dict[str, float] = {}
+                got, error = None, r.get("decode_error")
                 try:
-                    rows.append((tid, analyze_samples(np.asarray(x, np.float64), int(rate), columns), None))
+                    if r["samples"] is None:
+                        raise ValueError(error or "no samples")
+                    got = analyze_samples(np.asarray(r["samples"], np.float64), int(r["sample_rate"]), columns, times)
                 except Exception as e:  # one bad track is one error row
-                    rows.append((tid, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["track_id", "analysis", "error"])
+                    error = error or f"{type(e).__name__}: {e}"
+                spent = [times.get(p) for p in PARTS]
+                rows.append((r["track_id"], got, error, *([r.get("decode_milliseconds"), sum(spent) if got else None, *spent] if timed else [])))
+            yield pd.DataFrame(rows, columns=["track_id", "analysis", "error", *more])
 
-    return tracks.select("track_id", "samples", "sample_rate").mapInPandas(run, schema)
+    return tracks.select(*names).mapInPandas(run, schema)
 
 
 def per_track(rows: DataFrame, kernel, schema: str) -> DataFrame:

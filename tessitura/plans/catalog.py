@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import kernels, scoring, series, signals
+from . import corpus, kernels, scoring, series, signals
 
-MODULES = (signals, series, scoring, kernels)
+MODULES = (signals, series, scoring, corpus, kernels)
 
 
 def queries() -> dict:

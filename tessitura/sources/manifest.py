@@ -14,6 +14,7 @@ SEGMENT = "array<struct<start_seconds:double,end_seconds:double,{},confidence:fl
 TRACK = f"""struct<id:string,path:string,split:string,source:struct<name:string,version:string,item_id:string,citation:string>,expected_bpm:float,expected_key:string,
 expected_beats:array<struct<time_seconds:double,position_in_bar:tinyint>>,expected_tempo_segments:{SEGMENT.format("bpm:float,end_bpm:float")},expected_key_segments:{SEGMENT.format("key:string")},
 change_events:array<struct<time_seconds:double,structure_changed:boolean,tempo_changed:boolean,key_changed:boolean,label:string,confidence:float>>,
+serato:struct<bpm:float,key:string,beat_grid_seconds:array<double>,bpm_user_edited:boolean,key_user_edited:boolean,version:string>,apple_music_understanding:struct<bpm:float,key:string,beat_times_seconds:array<double>,version:string>,
 annotation:struct<status:string,reviewer:string,confidence:float,notes:string>>""".replace("\n", "")
 SCHEMA = f"version int, tracks array<{TRACK}>"
 
@@ -30,6 +31,9 @@ def violations(tracks: DataFrame) -> DataFrame:
     sure = lambda c: F.coalesce(good(c) & c.between(0, 1), F.lit(True))
     flow = lambda arr, bad: F.coalesce(F.exists(F.zip_with(F.slice(arr, F.lit(1), F.greatest(F.size(arr) - 1, F.lit(0))), F.slice(arr, F.lit(2), F.greatest(F.size(arr) - 1, F.lit(0))), bad), lambda b: b), F.lit(False))
 
+    tempo = lambda b: b.isNotNull() & ~(good(b) & (b > 0))
+    times = lambda arr: F.coalesce(F.exists(arr, lambda x: ~(good(x) & (x >= 0))), F.lit(False)) | flow(arr, lambda a, b: b < a)
+
     def ranges(c: str):
         each = F.coalesce(F.exists(c, lambda s: ~(good(s["start_seconds"]) & good(s["end_seconds"]) & (s["start_seconds"] >= 0) & (s["end_seconds"] > s["start_seconds"]) & sure(s["confidence"]))), F.lit(False))
         return each | flow(F.col(c), lambda a, b: b["start_seconds"] < a["end_seconds"])
@@ -40,17 +44,66 @@ def violations(tracks: DataFrame) -> DataFrame:
         "id": F.trim(F.coalesce("id", F.lit(""))) == "",
         "unique": F.col("__n") > 1,
         "path": F.trim(F.coalesce("path", F.lit(""))) == "",
-        "bpm": F.col("expected_bpm").isNotNull() & ~(good(F.col("expected_bpm")) & (F.col("expected_bpm") > 0)),
-        "beats": F.coalesce(F.exists("expected_beats", lambda b: ~(good(b["time_seconds"]) & (b["time_seconds"] >= 0))), F.lit(False)) | flow(F.col("expected_beats"), lambda a, b: b["time_seconds"] < a["time_seconds"]),
-        "tempo_segments": ranges("expected_tempo_segments") | F.coalesce(F.exists("expected_tempo_segments", lambda s: ~(good(s["bpm"]) & (s["bpm"] > 0))), F.lit(False)),
+        "bpm": tempo(F.col("expected_bpm")),
+        "beats": times(F.transform("expected_beats", lambda b: b["time_seconds"])),
+        "tempo_segments": ranges("expected_tempo_segments") | F.coalesce(F.exists("expected_tempo_segments", lambda s: tempo(s["bpm"]) | tempo(s["end_bpm"])), F.lit(False)),
         "key_segments": ranges("expected_key_segments") | F.coalesce(F.exists("expected_key_segments", lambda s: F.trim(F.coalesce(s["key"], F.lit(""))) == ""), F.lit(False)),
-        "change_events": F.coalesce(F.exists("change_events", lambda e: ~(F.coalesce(e["structure_changed"], F.lit(False)) | F.coalesce(e["tempo_changed"], F.lit(False)) | F.coalesce(e["key_changed"], F.lit(False)))), F.lit(False)),
+        "change_events": times(F.transform("change_events", lambda e: e["time_seconds"])) | F.coalesce(F.exists("change_events", lambda e: ~sure(e["confidence"]) | ~(F.coalesce(e["structure_changed"], F.lit(False)) | F.coalesce(e["tempo_changed"], F.lit(False)) | F.coalesce(e["key_changed"], F.lit(False)))), F.lit(False)),
         "annotation": ~sure(F.col("annotation.confidence")),
+        "observed_bpm": tempo(F.col("serato.bpm")) if "serato" in tracks.columns else F.lit(False),
+        "observed_beats": times(F.col("serato.beat_grid_seconds")) if "serato" in tracks.columns else F.lit(False),
     }
     broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()]))
     return t.select("id", F.explode(broken).alias("rule"))
 
 
+def resolved(tracks: DataFrame, manifest_path: str) -> DataFrame:
+    """Adds full_path: ``path`` itself if it is absolute, else below the manifest's folder."""
+    base = manifest_path.rsplit("/", 1)[0] if "/" in manifest_path else "."
+    return tracks.withColumn("full_path", F.when(F.col("path").rlike(r"^(/|[a-z0-9]+:)"), F.col("path")).otherwise(F.concat(F.lit(f"{base}/"), "path")))
+
+
+#: Where datasets keep their annotations, the first that exists counts.
+FOLDERS = {"tempo": ("annotations_v2/tempo", "annotations/tempo", "annotations/giantsteps"), "key": ("annotations/giantsteps", "annotations/key", "annotations/jams"), "table": ("metadata.csv", "fmakv2.csv", "FMAKv2.csv", "annotations.csv")}
+
+
+def find_annotations(spark: SparkSession, root: str, kind: str) -> str:
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for name in FOLDERS[kind]:
+        p = path(f"{root.rstrip('/')}/{name}")
+        if p.getFileSystem(conf).exists(p):
+            return p.toString()
+    raise FileNotFoundError(f"no {kind} annotations under {root}")
+
+
+def audio_paths(items: DataFrame, files: DataFrame, nested: bool = False) -> DataFrame:
+    """items with path and found. ``files``: path, relative to the audio folder. ``nested``: six-digit ids in folders of their first three digits, where such a file exists."""
+    plain = F.concat("item", F.lit(".mp3"))
+    deep = F.concat(F.substring("item", 1, 3), F.lit("/"), plain)
+    known = files.select(F.col("path").alias("__file")).distinct()
+    flat = items.join(known, plain == F.col("__file"), "left").withColumn("__flat", F.col("__file").isNotNull()).drop("__file")
+    if not nested:
+        return flat.select(*items.columns, plain.alias("path"), F.col("__flat").alias("found"))
+    both = flat.join(known, deep == F.col("__file"), "left")
+    return both.select(*items.columns, F.when(F.col("__file").isNotNull(), deep).otherwise(plain).alias("path"), (F.col("__flat") | F.col("__file").isNotNull()).alias("found"))
+
+
+def import_counts(upserted: DataFrame, read: int, usable: int, missing_audio: int) -> dict[str, int]:
+    """imported, updated, skipped (annotations that hold no value), missing_audio."""
+    by = {r["action"]: r["count"] for r in upserted.groupBy("action").count().collect()}  # three rows at most
+    return {"imported": by.get("imported", 0), "updated": by.get("updated", 0), "skipped": read - usable, "missing_audio": missing_audio}
+
+
+def delete_tracks(tracks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The manifest without the tracks whose id is in ``ids``."""
+    return tracks.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def track_paths(ids: DataFrame, tracks: DataFrame) -> DataFrame:
+    """id, path (null for an unknown track)."""
+    return ids.select("id").join(tracks.select("id", "path"), "id", "left")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", keep: tuple[str, ...] = ("split",)) -> DataFrame:
     """Full outer join on ``key``: new values win, ``keep`` columns of a known row stay; adds ``action``."""
     o, n = old.alias("o"), new.alias("n")
@@ -81,6 +134,21 @@ def fingerprint(manifest: dict) -> str:
     return hashlib.sha256(canonical_json({**manifest, "tracks": tracks})).hexdigest()
 
 
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def save_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
+    """Validated, then written whole or not at all."""
+    rows = spark.read.schema(SCHEMA).json(spark.sparkContext.parallelize([json.dumps(manifest)]))
+    tracks = rows.select("version", F.explode("tracks").alias("t")).select("version", "t.*")
+    broken = [tuple(r) for r in violations(tracks).limit(5).collect()]
+    if manifest.get("version") != 1 or broken:
+        raise ValueError(f"manifest breaks rules: {broken or 'version'}")
+    save_json(manifest, path)
+
+
 def save_json(value, path: str) -> None:
     """Written whole or not at all."""
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".")

@@ -9,12 +9,11 @@ from ..sources.audio import SCHEMA, _decode
 
 
 def analyze_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, columns: int = 1500):
-    """Starts a query that appends (track_id, analysis, error) as JSON; each file is analysed once."""
+    """Starts a query that appends (track_id, analysis, error, times) as JSON; each file is analysed once, one that can't be decoded is an error row."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     pcm = files.select("path", "content").mapInPandas(_decode, SCHEMA)
 
     def batch(df, _):
-        ok = df.where("error IS NULL").withColumnRenamed("path", "track_id")
-        analyze(ok, columns).write.mode("append").json(out)
+        analyze(df.withColumnRenamed("path", "track_id").withColumnRenamed("error", "decode_error"), columns, timed=True).write.mode("append").json(out)
 
     return pcm.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
