@@ -169,10 +169,11 @@ def run_hashes(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.
     head = np.cumsum(blocks) - blocks
     turn = np.arange(int(blocks.sum())) - np.repeat(head, blocks)
     at = np.repeat(begins, blocks) + turn * BLOCK_BYTES
-    place = np.arange(len(values), dtype=np.int64)
-    base = np.zeros(len(values), np.int64)
+    whole = np.int32 if len(values) < 1 << 31 else np.int64
+    place = np.arange(len(values), dtype=whole)
+    base = np.zeros(len(values), whole)
     base[at] = at
-    place -= np.maximum.accumulate(base)
+    place -= np.maximum.accumulate(base, out=base)
     np.minimum(place, BLOCK_BYTES - 1, out=place)  # zeros after a run may reach further
     sums = np.add.reduceat(values * _PLACES[place], at)
     long = np.repeat(blocks > 1, blocks)
