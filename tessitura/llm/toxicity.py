@@ -2,19 +2,21 @@
 
 The kernel counts shared three-letter subsequences, gaps allowed, each weighted by DECAY to its
 span, cosine-normalised; so "id.iot", "idxiot" and "i d i o t" stay close to "idiot". Its feature
-space is small (32 letter classes cubed), so k(word, landmark) is a dot product and, once
+space is small (48 letter classes cubed), so k(word, landmark) is a dot product and, once
 the SVM over Nyström features is fitted, its whole decision function folds into one weight per
 subsequence: scoring a word costs a few lookups, however many landmarks there are.
 
-Training (driver, bounded): at most ``max_toxic`` and ``max_clean`` labelled documents by hash order,
-every sentence of their whole texts; held-out rows (crc32(doc_id) mod 5 = 0) are never read. A document
+Training (one task on an executor, bounded): at most ``max_toxic`` and ``max_clean`` labelled documents of at most
+``max_bytes`` each, by hash order; held-out rows (crc32(doc_id) mod 5 = 0) are never read. Labels are those of documents; the
+units that the kernel compares are words (runs of one-letter words are one), not whole sentences. A document
 is toxic through some of its words, so fitting alternates: the SVM is fitted on words, then each toxic
 document keeps only the words that speak for it most (multiple-instance learning). A document's score
 is a logistic function of its strongest words' decision values.
 
 Scoring: whole texts, in Arrow batches, distinct words once per batch; no shuffle. Null and empty texts
 score the calibrated value of a text without words. Only text is an input of a score. Rows that repeat
-are scored alike. Without usable labels every score is the prior 0.
+are scored alike; of the labels of one doc_id the largest holds, of its texts one is learned. Without usable labels every
+document scores under 0.02. Columns of the caller are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, run_hashes, text_buffer, words
+from .common import one_row_each, pieces, run_hashes, text_buffer, words
 
-LETTERS, DECAY, SPAN = 32, 0.6, 6
+LETTERS, DECAY, SPAN = 48, 0.6, 6
 DIM = LETTERS**3
 TOP = 3  # strongest words that a document's score looks at
 
@@ -38,7 +40,7 @@ for _b in range(256):
     if _b < 128 and _c.isalpha():
         _CLASS[_b] = ord(_c) - 96
     elif _b >= 128:
-        _CLASS[_b] = 27 + (_b * 7) % 5 if _b < 192 else 0  # lead bytes say little, the rest tell letters apart
+        _CLASS[_b] = 27 + (_b - 128) % 21 if _b < 192 else 0  # lead bytes say little, the rest tell letters apart
 _LETTER = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, LETTERS, dtype=np.uint64) | np.uint64(1)
 for _b, _c in zip(b"0134578@$!|", "oieastbasii"):
     _CLASS[_b] = ord(_c) - 96
@@ -62,8 +64,8 @@ class Words:
         return Words(out, begin, size)
 
 
-def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Distinct words of the texts; then for every word of a text its place among them and its text's number.
+def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts and their hashes; then for every word of a text its place among them and its text's number.
 
     A word is its letters: other characters are dropped, digits that look like letters are read as such.
     Runs of one-letter words are read as one word. Words without letters are left out.
@@ -84,15 +86,34 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     starts, n, text = starts[keep], n[keep], text[keep]
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint8), none, none), none, none
+        return Words(np.zeros(0, np.uint8), none, none), np.zeros(0, np.uint64), none, none
     new = np.ones(len(starts), bool)
     new[1:] = ~((n[1:] == 1) & (n[:-1] == 1) & (text[1:] == text[:-1]))
     head = np.flatnonzero(new)
     size, text, begin = np.add.reduceat(n, head), text[head], upto[starts[head]]
     flat = cls[solid]
     key = run_hashes(_LETTER[flat], begin, size)
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
-    return Words(flat, begin, size).take(at), back, text
+    key, at, back = np.unique(key, return_index=True, return_inverse=True)
+    return Words(flat, begin, size).take(at), key, back, text
+
+
+def vocabulary(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Distinct words of the texts; then (word, text) for each word that a text holds, once. Read piece by piece."""
+    few, keys, held, docs = [], [], [], []
+    for a, b in pieces(offsets, 1 << 19):
+        part = offsets[a : b + 1]
+        own, key, back, text = read_words(raw[part[0] : part[-1]], part - part[0])
+        pair = np.unique(back * np.int64(len(offsets)) + text + a)
+        few.append(own)
+        keys.append(key)
+        held.append(key[pair // len(offsets)])
+        docs.append(pair % len(offsets))
+    if not few:
+        few, keys, held, docs = [Words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    skip = np.cumsum([0, *[len(w.letters) for w in few]])
+    every = Words(np.concatenate([w.letters for w in few]), np.concatenate([w.begin + n for w, n in zip(few, skip)]), np.concatenate([w.size for w in few]))
+    key, at = np.unique(np.concatenate(keys), return_index=True)
+    return every.take(at), np.searchsorted(key, np.concatenate(held)), np.concatenate(docs)
 
 
 _GAPS = [(i, j) for i in range(1, SPAN) for j in range(i + 1, SPAN + 1)]
@@ -132,19 +153,30 @@ def decide(w: Words, weights: np.ndarray) -> np.ndarray:
     return np.add.reduceat(total, w.begin) / _norm(w.size)
 
 
-def embed(w: Words) -> np.ndarray:
-    """Dense features of a few words (landmarks, training blocks) in ``decide``'s scale."""
-    out = np.zeros((len(w.size), DIM), np.float32)
+def columns_of(w: Words) -> np.ndarray:
+    """Numbers of the features that some of the words have."""
+    seen = np.zeros(DIM, bool)
+    for feature, _ in _features(w):
+        seen[feature] = True
+    return np.flatnonzero(seen & _USED)
+
+
+def embed(w: Words, columns: np.ndarray) -> np.ndarray:
+    """The features ``columns`` of a few words (landmarks, training blocks) in ``decide``'s scale, dense."""
+    place = np.full(DIM, -1, np.int32)
+    place[columns] = np.arange(len(columns), dtype=np.int32)
+    out = np.zeros((len(w.size), len(columns)), np.float32)
     row = np.repeat(np.arange(len(w.size)), w.size + SPAN)
     for feature, decay in _features(w):
-        on = np.flatnonzero(_USED[feature])
-        np.add.at(out, (row[on], feature[on]), np.float32(decay))
+        at = place[feature]
+        on = np.flatnonzero(at >= 0)
+        np.add.at(out, (row[on], at[on]), np.float32(decay))
     return out / _norm(w.size)[:, None].astype(np.float32)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float64[DIM]
+    weights: np.ndarray  # float32[DIM]
     calibration: np.ndarray  # of 1 and the top decision values
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -160,7 +192,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nd
     n = len(offsets) - 1
     out = np.zeros((n, TOP + 2))
     out[:, 0] = 1
-    few, back, text = read_words(raw, offsets)
+    few, _, back, text = read_words(raw, offsets)
     if len(text):
         value = decide(few, weights)[back]
         rest = value.copy()
@@ -185,7 +217,9 @@ def _svm(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, rounds: int = 6
         on = slack > 0
         xo, wo = x[on], w[on]
         grad = reg * beta - xo.T @ (wo * y[on] * slack[on])
-        hess = (xo * wo[:, None]).T @ xo + np.diag(reg)
+        hess = np.diag(reg)
+        for i in range(0, len(xo), 2048):  # a block at a time: no second copy of x
+            hess += (xo[i : i + 2048] * wo[i : i + 2048, None]).T @ xo[i : i + 2048]
         step = np.linalg.solve(hess, grad)
         beta -= step
         if np.abs(step).max() < 1e-5:
@@ -206,18 +240,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return beta
 
 
-def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int = 4, seed: int = 5) -> Model:
-    """Fits on whole texts with labels 0/1."""
-    texts = pa.array(texts, pa.string())
+def fit(texts, toxic: np.ndarray, landmarks: int = 256, rounds: int = 4, seed: int = 5) -> Model:
+    """Fits on whole texts (a list or an Arrow array) with labels 0/1."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     toxic = np.asarray(toxic, int)
     if len(toxic) == 0 or toxic.min() == toxic.max():
         prior = np.zeros(TOP + 2)
         prior[0] = -4 if not len(toxic) or toxic[0] == 0 else 4
         return Model(np.zeros(DIM), prior)
     raw, offsets = text_buffer(texts)
-    few, back, text = read_words(raw, offsets)
-    pairs = np.unique(back * np.int64(len(toxic)) + text)  # word in document, once
-    word, doc = pairs // len(toxic), pairs % len(toxic)
+    few, word, doc = vocabulary(raw, offsets)
     df1 = np.bincount(word, toxic[doc] == 1, len(few.size))
     df0 = np.bincount(word, toxic[doc] == 0, len(few.size))
     n1, n0 = (toxic == 1).sum(), (toxic == 0).sum()
@@ -228,7 +260,9 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int =
     strong = np.argsort(-z)[: landmarks // 2]
     common = np.argsort(-(df0 + df1))[: landmarks * 8]
     rest = rng.permutation(np.setdiff1d(common, strong))[: landmarks - len(strong)]
-    mark = embed(few.take(np.concatenate([strong, rest])))
+    marks = few.take(np.concatenate([strong, rest]))
+    columns = columns_of(marks)  # a landmark's kernel sees no others
+    mark = embed(marks, columns)
     gram = mark @ mark.T
     value, vec = np.linalg.eigh(gram.astype(np.float64))
     value = np.where(value > 1e-6 * value.max(), value, np.inf)
@@ -239,9 +273,8 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int =
     pos[pool] = np.arange(len(pool))
     x = np.empty((len(pool), len(mark) + 1))
     for i in range(0, len(pool), 100):
-        x[i : i + 100, :-1] = embed(few.take(pool[i : i + 100])) @ mark.T @ root
+        x[i : i + 100, :-1] = embed(few.take(pool[i : i + 100]), columns) @ mark.T @ root
     x[:, -1] = 1
-    fold = root @ mark.astype(np.float64)
     inside = pos[word] >= 0
     word, doc = pos[word[inside]], doc[inside]
     up = np.maximum(0, z[pool] - 3)
@@ -260,8 +293,10 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int =
         weight = np.abs(wit - con) * 400 + np.where(wit > con, 0, 0.05)
         beta = _svm(x, y, weight, 1.0)
     # The SVM's bias is left to the calibration.
-    model = Model(fold.T @ beta[:-1], np.zeros(TOP + 2))
-    feats = np.concatenate([features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.weights) for a, b in pieces(offsets)])
+    folded = np.zeros(DIM, np.float32)
+    folded[columns] = mark.T @ (root @ beta[:-1]).astype(np.float32)
+    model = Model(folded, np.zeros(TOP + 2))
+    feats = np.concatenate([features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.weights) for a, b in pieces(offsets, 1 << 19)])
     model.calibration = _logistic(feats, toxic.astype(float))
     return model
 
@@ -270,39 +305,54 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most max_toxic + max_clean labelled rows outside the held-out fold, by hash order."""
-    usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_bytes: int) -> DataFrame:
+    """(doc_id, text, toxic) of at most max_toxic + max_clean labelled documents outside the held-out fold, by hash order."""
+    usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     draw = lambda t, n: usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = draw(1, max_toxic).unionByName(draw(0, max_clean))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id")
+    return one_row_each(rows, ["doc_id"])
+
+
+def _fit(batches):
+    rows = pa.Table.from_batches(list(batches))
+    if not rows.num_rows:
+        return
+    rows = rows.sort_by("doc_id").combine_chunks()
+    model = fit(rows["text"].combine_chunks(), rows["toxic"].to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.calibration.astype(np.float64).tobytes()], pa.binary())], ["weights", "calibration"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 500, max_clean: int = 1000) -> Model:
-    rows = sample(docs, labels, max_toxic, max_clean).orderBy("doc_id").toArrow()
-    return fit(rows["text"].to_pylist(), rows["toxic"].to_numpy())
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000, max_bytes: int = 1 << 16) -> Model:
+    """Fitted in one task over the sample, so texts never come to the driver: it gets the weights (DIM numbers)."""
+    rows = sample(docs, labels, max_toxic, max_clean, max_bytes).repartition(1)
+    got = rows.mapInArrow(_fit, "weights binary, calibration binary").collect()  # one row at most
+    if not got:
+        return fit([], np.zeros(0, int))
+    return Model(np.frombuffer(got[0]["weights"], np.float32), np.frombuffer(got[0]["calibration"], np.float64))
 
 
-def _score(model: Model):
+def _score(model: Model, column: str):
     def run(batches):
         for batch in batches:
-            raw, offsets = text_buffer(batch.column("text"))
+            raw, offsets = text_buffer(batch.column(batch.schema.names.index("text")))
             got = [np.zeros(0)]
             for a, b in pieces(offsets, 1 << 20):
                 part = offsets[a : b + 1]
                 got.append(model.score(raw[part[0] : part[-1]], part - part[0]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(np.concatenate(got))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got))], [*batch.schema.names, column])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column score, 0 to 1."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with a further column, 0 to 1."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_score(model), schema)
+    if column in docs.columns:
+        raise ValueError(f"documents have a column {column!r}; name another for the score")
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return docs.mapInArrow(_score(model, column), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -312,6 +362,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below ``threshold``; columns unchanged."""
-    columns = docs.columns
-    return score(docs, train(docs, labels)).where(F.col("score") < threshold).select(*columns)
+    """The documents that score below ``threshold``; columns unchanged, also one named score."""
+    columns, own = docs.columns, "__toxicity"
+    while own in columns:
+        own += "_"
+    return score(docs, train(docs, labels), own).where(F.col(own) < threshold).select(*columns)
