@@ -54,8 +54,13 @@ def text_view(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     seen = np.zeros((n, TEXT_DIM), np.float32)
     if len(raw) > 2:
         wide = cls.astype(np.int32)
-        gram = _GRAM[(wide[:-2] << 8) + (wide[1:-1] << 4) + wide[2:]] + row[2:] * half  # at a text's border it counts for the later
+        gram = _GRAM[(wide[:-2] << 8) + (wide[1:-1] << 4) + wide[2:]] + row[2:] * half
         seen[:, :half] = np.bincount(gram, minlength=n * half).reshape(n, half)
+        # Those that reach over a text's border belong to no text.
+        over = np.unique(np.concatenate([offsets[1:-1] - 2, offsets[1:-1] - 1]))
+        over = over[(over >= 0) & (over < len(gram))]
+        over = over[row[over] != row[over + 2]]
+        np.subtract.at(seen.reshape(-1), (gram[over] // half) * TEXT_DIM + gram[over] % half, 1)
     if len(h):
         # Runs of one word pile up in the last bucket.
         again = np.zeros(len(h), bool)
