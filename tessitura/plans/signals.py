@@ -62,8 +62,8 @@ def chroma_tuning(spark, sf_dir):
 
 
 def chroma_shift(spark, sf_dir):
-    f = frames(spark, sf_dir).where("frame_idx = 0")
-    return f.select("track", F.posexplode(C.shift(F.col("v"), F.lit(0.25))).alias("bin", "x")).select("track", "bin", F.round("x", 6).alias("x"))
+    f = frames(spark, sf_dir)
+    return f.select("track", "frame_idx", F.posexplode(C.shift(F.col("v"), F.lit(0.25))).alias("bin", "x")).select("track", "frame_idx", "bin", F.round("x", 6).alias("x"))
 
 
 def chroma_weighted_median(spark, sf_dir):
@@ -111,7 +111,7 @@ SELECT track, round(CASE WHEN sum(abs(x)) > 1.1920929e-07::DOUBLE THEN 0.7::DOUB
     "chroma_whiten": f"WITH {FRAMES_SQL} SELECT track, frame_idx::INTEGER AS frame_idx, bin::INTEGER AS bin, round(sqrt(x) / sum(sqrt(x)) OVER (PARTITION BY track, frame_idx), 6) AS x FROM frames",
     "chroma_tuning": f"""WITH {FRAMES_SQL}, p AS (SELECT a.track, a.x AS c, l.x AS p, n.x AS n FROM frames a JOIN frames l ON a.track = l.track AND a.frame_idx = l.frame_idx AND l.bin = (a.bin + 11) % 12 JOIN frames n ON a.track = n.track AND a.frame_idx = n.frame_idx AND n.bin = (a.bin + 1) % 12)
 SELECT track, round(coalesce(greatest(-0.5, least(0.5, sum(0.5 * (n - p) / (2 * c - p - n) * c) FILTER (c > p AND c > n) / sum(c) FILTER (c > p AND c > n))), 0)::DOUBLE, 6) AS tuning FROM p GROUP BY track""",
-    "chroma_shift": f"""WITH {FRAMES_SQL} SELECT a.track, ((a.bin + 1) % 12)::INTEGER AS bin, round(a.x * 0.25::DOUBLE + b.x * 0.75::DOUBLE, 6) AS x FROM frames a JOIN frames b ON a.track = b.track AND a.frame_idx = 0 AND b.frame_idx = 0 AND b.bin = (a.bin + 1) % 12""",
+    "chroma_shift": f"""WITH {FRAMES_SQL} SELECT a.track, a.frame_idx::INTEGER AS frame_idx, ((a.bin + 1) % 12)::INTEGER AS bin, round(a.x * 0.25::DOUBLE + b.x * 0.75::DOUBLE, 6) AS x FROM frames a JOIN frames b ON a.track = b.track AND a.frame_idx = b.frame_idx AND b.bin = (a.bin + 1) % 12""",
     "chroma_weighted_median": f"""WITH {FRAMES_SQL}, e AS (SELECT DISTINCT track, frame_idx, energy FROM frames), w AS (SELECT track, frame_idx, 1 + 4 * greatest(0, coalesce(sqrt(energy) - lag(sqrt(energy)) OVER (PARTITION BY track ORDER BY frame_idx), 0)) AS w FROM e)
 SELECT track, bin::INTEGER AS bin, round(list_sort(list(x * w))[3], 6) AS x FROM frames JOIN w USING (track, frame_idx) GROUP BY track, bin""",
     "key_scores": f"WITH {SCORES_SQL} SELECT track, key, round(s, 6) AS score FROM scores",

@@ -7,7 +7,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "array<struct<start_seconds:double,end_seconds:double,{},confidence:float>>"
@@ -120,6 +120,14 @@ def stable_sample(rows: DataFrame, namespace: str, count: int, key: str = "id")
     return rows.orderBy(F.sha2(F.concat(F.lit(f"{namespace}:"), F.col(key).cast("string")), 256)).limit(count).orderBy(key)
 
 
+def blocked(corpora: DataFrame, name: Column, prefixes: tuple[str, ...], source_blocked: Column) -> DataFrame:
+    """Corpora that are development data: by a prefix of their name, or by their source."""
+    by_name = F.lit(False)
+    for p in prefixes:
+        by_name = by_name | F.startswith(name, F.lit(p))
+    return corpora.where(by_name | source_blocked)
+
+
 def remaining_jobs(jobs: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     return jobs.join(done.select(*on), on, "left_anti")
 
