@@ -174,7 +174,7 @@ hit AS (SELECT r.track, sum(least(r.end_s, d.end_s) - greatest(r.start_s, d.star
 kacc AS (SELECT track, coalesce(any_value(hit), 0) / greatest(sum(end_s - start_s), 2.220446049250313e-16) AS kacc FROM segs LEFT JOIN hit USING (track) GROUP BY track)"""
 
 
-def _greedy(name: str, lists: str, tolerance: float) -> str:
+def greedy(name: str, lists: str, tolerance: float) -> str:
     """CTEs of a one-to-one match: each reference in turn takes the nearest free detection. ``lists``: track, r, d."""
     free = f"list_filter(range(1, len(d) + 1), lambda i: abs(d[i] - r[k]) <= {tolerance!r} AND NOT list_contains(used, i))"
     return f"""{name}_in AS ({lists}),
@@ -183,7 +183,7 @@ def _greedy(name: str, lists: str, tolerance: float) -> str:
 {name} AS (SELECT track, max(len(used)) AS hits, any_value(len(r)) AS refs, any_value(len(d)) AS dets FROM {name}_go JOIN {name}_in USING (track) GROUP BY track)"""
 
 
-BEATS = _greedy("beat", "SELECT track, list(start_s ORDER BY idx) AS r, list(start_s + (idx % 5) * 0.03::DOUBLE ORDER BY idx) AS d FROM segs GROUP BY track", 0.07)
+BEATS = greedy("beat", "SELECT track, list(start_s ORDER BY idx) AS r, list(start_s + (idx % 5) * 0.03::DOUBLE ORDER BY idx) AS d FROM segs GROUP BY track", 0.07)
 RESULTS = f"""WITH RECURSIVE {TRACKS}, {BEATS},
 f AS (SELECT track, hits / dets::DOUBLE AS p, hits / refs::DOUBLE AS r FROM beat),
 k AS (SELECT *, {SCORE} AS score FROM (SELECT *, {REL} AS relation FROM pr) q),
@@ -221,7 +221,7 @@ ORACLE = {
         _AVG("CASE WHEN error IS NULL THEN n * 2.0::DOUBLE END", "mean_decode_milliseconds"), _AVG("CASE WHEN error IS NULL THEN n * 3.0::DOUBLE END", "mean_analysis_milliseconds"), *[f"NULL::DOUBLE AS mean_{t}_milliseconds" for t in ("beat_analysis", "key_analysis", "waveform_analysis")],
         "round(avg(CASE WHEN tempo_relation IS NOT NULL THEN (tempo_relation = 'exact')::INT END), 6) AS tempo_accuracy_1", "round(avg(CASE WHEN tempo_relation IS NOT NULL THEN (tempo_relation IN ('exact', 'double', 'half', 'triple', 'third'))::INT END), 6) AS tempo_accuracy_2", _TAX("tempo_relation", "key_relation"),
     ]) + " FROM res",
-    "boundary_scores": f"WITH RECURSIVE {TRACKS}, " + _greedy("edge", f"SELECT pr.track, coalesce(a.x, []) AS r, coalesce(b.x, []) AS d FROM pr LEFT JOIN ({_EDGE('segs', 'start_s')}) a USING (track) LEFT JOIN ({_EDGE('det', 'start_s')}) b USING (track) WHERE error IS NULL", BOUNDARY_TOLERANCE) + """,
+    "boundary_scores": f"WITH RECURSIVE {TRACKS}, " + greedy("edge", f"SELECT pr.track, coalesce(a.x, []) AS r, coalesce(b.x, []) AS d FROM pr LEFT JOIN ({_EDGE('segs', 'start_s')}) a USING (track) LEFT JOIN ({_EDGE('det', 'start_s')}) b USING (track) WHERE error IS NULL", BOUNDARY_TOLERANCE) + """,
 t AS (SELECT (SELECT count(*) FROM pr WHERE error IS NULL) AS evaluated_tracks, (SELECT count(*) FROM pr WHERE error IS NOT NULL) AS failed_tracks, sum(hits)::BIGINT AS true_positives, sum(dets - hits)::BIGINT AS false_positives, sum(refs - hits)::BIGINT AS false_negatives FROM edge),
 q AS (SELECT *, true_positives / (true_positives + false_positives)::DOUBLE AS p, true_positives / (true_positives + false_negatives)::DOUBLE AS r FROM t)
 SELECT evaluated_tracks, failed_tracks, true_positives, false_positives, false_negatives, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM q""",
@@ -241,10 +241,11 @@ SELECT track, idx, (CASE WHEN n < 4 THEN i % 4 + 1 ELSE (i + 4 - phase) % 4 + 1
 }
 
 
-def _with(sql: str) -> str:
+def recursive(sql: str) -> str:
+    """``sql`` with the views that it names, also before recursive CTEs."""
     recursive = sql.startswith("WITH RECURSIVE ")
     out = with_views("WITH " + sql.removeprefix("WITH RECURSIVE ") if recursive else sql, "duckdb")
     return out.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else out
 
 
-ORACLE = {k: _with(v) for k, v in ORACLE.items()}
+ORACLE = {k: recursive(v) for k, v in ORACLE.items()}

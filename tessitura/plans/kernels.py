@@ -1,4 +1,4 @@
-"""Queries over sequential kernels, one track at a time; no SQL form."""
+"""Queries over sequential kernels, one track at a time; the SQL of the greedy ones is recursive over lists."""
 
 from __future__ import annotations
 
@@ -10,8 +10,31 @@ from ..functions import kernels as K
 from ..operators import analysis as A
 from ..sources.driver_views import frame_of
 from ..sources.synthetic import synthetic_tracks
-
-ORACLE: dict[str, str] = {}
+from .corpus import greedy, recursive
+
+_GAP = "abs(c.bpm - s[k].bpm) / greatest(abs(c.bpm), abs(s[k].bpm), 1.1920929e-07::DOUBLE) <= 0.04::DOUBLE"
+SQL = {
+    "beat_f1_greedy": "WITH RECURSIVE " + greedy("m", "SELECT track, list(start_s ORDER BY idx) AS r, list(end_s - 300 ORDER BY idx) AS d FROM segs GROUP BY track", 600.0) + """
+SELECT track, hits, round(hits / dets::DOUBLE, 6) AS precision, round(hits / refs::DOUBLE, 6) AS recall, round(CASE WHEN hits > 0 THEN 2 * (hits / dets::DOUBLE) * (hits / refs::DOUBLE) / (hits / dets::DOUBLE + hits / refs::DOUBLE) ELSE 0 END, 6) AS f1 FROM m""",
+    "merge_short_segments": """WITH RECURSIVE go AS (SELECT track, list({'a': start_s, 'b': end_s, 'k': key_idx} ORDER BY idx) AS l FROM segs GROUP BY track UNION ALL
+SELECT track, list_concat(list_concat(l[1:g - 1], [{'a': least(l[g].a, l[g + 1].a), 'b': greatest(l[g].b, l[g + 1].b), 'k': l[g].k}]), l[g + 2:]) FROM (SELECT *, least(i, CASE WHEN i = 1 THEN 2 WHEN i = len(l) THEN i - 1 WHEN l[i - 1].b - l[i - 1].a >= l[i + 1].b - l[i + 1].a THEN i - 1 ELSE i + 1 END) AS g
+  FROM (SELECT *, list_position(list_transform(l, lambda s: s.b - s.a < 3600), true) AS i FROM go) p WHERE len(l) > 1 AND i > 0) q),
+last AS (SELECT track, arg_min(l, len(l)) AS l FROM go GROUP BY track)
+SELECT track, (i - 1)::INTEGER AS idx, l[i].a AS start_s, l[i].b AS end_s, l[i].k AS key_idx FROM (SELECT track, l, unnest(range(1, len(l) + 1)) AS i FROM last) q""",
+    "alternate_tempo": f"""WITH RECURSIVE t AS (SELECT track, list({{'d': greatest(end_s - start_s, 0), 'bpm': (60 + key_idx * 5)::DOUBLE}} ORDER BY idx) AS s FROM segs GROUP BY track),
+go AS (SELECT track, 1 AS k, []::STRUCT(bpm DOUBLE, d DOUBLE)[] AS cl FROM t UNION ALL
+SELECT track, k + 1, CASE WHEN s[k].d <= 2.2e-16 OR abs(s[k].bpm - s[1].bpm) / greatest(s[k].bpm, s[1].bpm) <= 0.04::DOUBLE THEN cl
+  WHEN len(list_filter(cl, lambda c: {_GAP})) = 0 THEN list_append(cl, {{'bpm': s[k].bpm, 'd': s[k].d}})
+  ELSE list_transform(cl, lambda c, i: CASE WHEN i = list_position(list_transform(cl, lambda c: {_GAP}), true) THEN {{'bpm': (c.bpm * c.d + s[k].bpm * s[k].d) / (c.d + s[k].d), 'd': c.d + s[k].d}} ELSE c END) END
+FROM go JOIN t USING (track) WHERE k <= len(s)),
+last AS (SELECT track, arg_max(cl, k) AS cl FROM go GROUP BY track),
+best AS (SELECT track, list_reduce(cl, lambda a, b: CASE WHEN b.d >= a.d THEN b ELSE a END) AS c, list_sum(list_transform(s, lambda x: x.d)) AS total FROM last JOIN t USING (track) WHERE len(cl) > 0)
+SELECT t.track, CASE WHEN c.d / total + 1.1920929e-07 >= 0.05 THEN round(c.bpm, 5) END AS bpm, CASE WHEN c.d / total + 1.1920929e-07 >= 0.05 THEN round(c.d / total, 6) END AS coverage FROM t LEFT JOIN best USING (track)""",
+    "pick_peaks": """WITH w AS (SELECT track, idx, x, max(x) OVER (PARTITION BY track ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m, count(*) OVER (PARTITION BY track) AS n FROM onset),
+p AS (SELECT track, idx, idx - row_number() OVER (PARTITION BY track ORDER BY idx) AS run FROM w WHERE idx >= 5 AND idx < n - 5 AND x >= 50 AND x >= m)
+SELECT track, idx AS frame FROM (SELECT *, row_number() OVER (PARTITION BY track, run ORDER BY idx) AS k FROM p) q WHERE k % 2 = 1""",
+}
+ORACLE: dict[str, str] = {name: recursive(sql) for name, sql in SQL.items()}
 
 
 def dp_beats(spark, sf_dir):
@@ -32,7 +55,7 @@ def beat_f1_greedy(spark, sf_dir):
         ref, det = pdf["start_s"].to_numpy(), pdf["end_s"].to_numpy() - 300
         hit, missed, extra = K.match_events(ref, det, 600.0)
         p, r = hit / max(hit + extra, 1), hit / max(hit + missed, 1)
-        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "hits": [hit], "precision": [p], "recall": [r], "f1": [2 * p * r / (p + r) if p + r else 0.0]})
+        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "hits": [hit], "precision": [round(p, 6)], "recall": [round(r, 6)], "f1": [round(2 * p * r / (p + r), 6) if p + r else 0.0]})
 
     return A.per_track(frame_of(spark, sf_dir, "segs"), kernel, "track long, hits long, precision double, recall double, f1 double")
 
@@ -52,7 +75,7 @@ def alternate_tempo(spark, sf_dir):
         pdf = pdf.sort_values("idx")
         segs = [(a, b, 60.0 + k * 5) for a, b, k in zip(pdf["start_s"], pdf["end_s"], pdf["key_idx"])]
         got = K.alternate_tempo(segs, segs[0][2], 0.04, 0.05)
-        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "bpm": [got and got[0]], "coverage": [got and got[1]]}, dtype=object)
+        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "bpm": [got and round(got[0], 5)], "coverage": [got and round(got[1], 6)]}, dtype=object)
 
     return A.per_track(frame_of(spark, sf_dir, "segs"), kernel, "track long, bpm double, coverage double")
 
