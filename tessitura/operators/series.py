@@ -8,20 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 EPS = 1.1920929e-07
-TRACK = Window.partitionBy("track").orderBy("idx")
-WHOLE = Window.partitionBy("track")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("track").orderBy("idx")
+
+
+def whole_track() -> WindowSpec:
+    return Window.partitionBy("track")
 
 
 def flux(series: DataFrame) -> DataFrame:
     """Rises from value to value; the first counts in full."""
-    return series.select("track", "idx", F.greatest(F.col("x") - F.coalesce(F.lag("x").over(TRACK), F.lit(0.0)), F.lit(0.0)).alias("flux"))
+    return series.select("track", "idx", F.greatest(F.col("x") - F.coalesce(F.lag("x").over(in_order()), F.lit(0.0)), F.lit(0.0)).alias("flux"))
 
 
 def peaks(series: DataFrame) -> DataFrame:
     """Values over mean plus half a deviation that no neighbour exceeds (the right one is lower)."""
-    told = series.select("*", (F.avg("x").over(WHOLE) + F.stddev_pop("x").over(WHOLE) / 2).alias("level"), F.lag("x").over(TRACK).alias("before"), F.lead("x").over(TRACK).alias("after"))
+    told = series.select("*", (F.avg("x").over(whole_track()) + F.stddev_pop("x").over(whole_track()) / 2).alias("level"), F.lag("x").over(in_order()).alias("before"), F.lead("x").over(in_order()).alias("after"))
     return told.where("x > level AND x >= before AND x > after").select("track", "idx", "x")
 
 
@@ -34,7 +41,7 @@ def interval_histogram(found: DataFrame, least: int, most: int) -> DataFrame:
 
 def autocorrelation(series: DataFrame, most: int) -> DataFrame:
     """track, lag, r: normalised correlation at lags 1 .. most, from one pass of lagged windows."""
-    lagged = series.select("track", "x", *[F.lag("x", k).over(TRACK).alias(f"l{k}") for k in range(1, most + 1)])
+    lagged = series.select("track", "x", *[F.lag("x", k).over(in_order()).alias(f"l{k}") for k in range(1, most + 1)])
     parts = [f(k).alias(f"{n}{k}") for k in range(1, most + 1) for n, f in (("ab", lambda k: F.sum(F.col("x") * F.col(f"l{k}"))), ("aa", lambda k: F.sum(F.col(f"l{k}") * F.col(f"l{k}"))), ("bb", lambda k: F.sum(F.when(F.col(f"l{k}").isNotNull(), F.col("x") * F.col("x")))))]
     summed = lagged.groupBy("track").agg(*parts)
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"ab{k}") / F.greatest(F.sqrt(F.col(f"aa{k}") * F.col(f"bb{k}")), F.lit(EPS))).alias("r")) for k in range(1, most + 1)])
@@ -52,7 +59,7 @@ def base_score(corr: DataFrame, hist: DataFrame, least: int) -> DataFrame:
 
 def islands(rows: DataFrame, changed: Column) -> DataFrame:
     """Adds island: the number of rows of the track up to this one where ``changed`` holds."""
-    return rows.withColumn("__c", F.coalesce(changed, F.lit(False)).cast("int")).withColumn("island", F.sum("__c").over(TRACK.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__c")
+    return rows.withColumn("__c", F.coalesce(changed, F.lit(False)).cast("int")).withColumn("island", F.sum("__c").over(in_order().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__c")
 
 
 def segment_bounds(groups: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def segment_bounds(groups: DataFrame) -> DataFrame:
 
 def tempo_segments(windows: DataFrame, change: float = 0.04) -> DataFrame:
     """windows: track, idx, at (centre), bpm, lo, hi. Runs whose tempo stays within ``change`` of the window's before."""
-    before = F.lag("bpm").over(TRACK)
+    before = F.lag("bpm").over(in_order())
     runs = islands(windows, F.abs(F.col("bpm") - before) / F.greatest(before, F.lit(1.0)) > change)
     return segment_bounds(runs.groupBy("track", "island").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.avg("bpm").alias("bpm"), F.count(F.lit(1)).alias("windows")))
 
@@ -79,7 +86,7 @@ def majority(values: DataFrame, by: list[str], value: str, order: str) -> DataFr
 
 def key_segments(windows: DataFrame, sure: float = 0.35) -> DataFrame:
     """windows: track, idx, at, key_idx, confidence, lo, hi. A new segment starts where the key changes with enough confidence."""
-    runs = islands(windows, (F.col("key_idx") != F.lag("key_idx").over(TRACK)) & (F.col("confidence") >= sure))
+    runs = islands(windows, (F.col("key_idx") != F.lag("key_idx").over(in_order())) & (F.col("confidence") >= sure))
     keys = majority(runs, ["track", "island"], "key_idx", "idx")
     groups = runs.groupBy("track", "island").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("windows"))
     return segment_bounds(groups.join(keys.drop("n"), ["track", "island"]))
@@ -143,7 +150,7 @@ def midpoint_pairs(ref: DataFrame, det: DataFrame) -> DataFrame:
 
 def tap_tempo(taps: DataFrame, pause: float = 2.5, keep: int = 8) -> DataFrame:
     """taps: track, idx, t. A gap over ``pause`` starts anew; the median gap of the last ``keep`` taps of a run gives the tempo."""
-    gap = taps.withColumn("gap", F.col("t") - F.lag("t").over(TRACK))
+    gap = taps.withColumn("gap", F.col("t") - F.lag("t").over(in_order()))
     runs = islands(gap, F.col("gap") > pause).withColumnRenamed("island", "run")
     per = runs.groupBy("track", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "gap"))).alias("g"))
     inner = F.transform("g", lambda x, i: F.struct(i.alias("i"), x["gap"].alias("gap")))

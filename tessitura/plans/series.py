@@ -200,15 +200,15 @@ def tempo_base_score(spark, sf_dir):
 
 def tempo_islands(spark, sf_dir):
     """Windows of eight onsets, four apart, whose level stands for a tempo."""
-    w = S.TRACK.rowsBetween(0, 7)
-    n = F.count(F.lit(1)).over(S.WHOLE)
+    w = S.in_order().rowsBetween(0, 7)
+    n = F.count(F.lit(1)).over(S.whole_track())
     each = _onset(spark, sf_dir).select("track", F.col("idx").alias("i"), F.floor(F.col("idx") / 4).cast("int").alias("idx"), (F.col("idx") + 4.0).alias("at"), (F.avg("x").over(w) + 60).alias("bpm"), F.lit(0.0).alias("lo"), n.cast("double").alias("hi"))
     got = S.tempo_segments(each.where("i % 4 = 0 AND i + 8 <= hi"))
     return _rounded(got.select("track", "island", "start_s", "end_s", "bpm", "windows"), start_s=3, end_s=3, bpm=5)
 
 
 def event_islands(spark, sf_dir):
-    runs = S.islands(_segs(spark, sf_dir), ~F.col("event_type").eqNullSafe(F.lag("event_type").over(S.TRACK)))
+    runs = S.islands(_segs(spark, sf_dir), ~F.col("event_type").eqNullSafe(F.lag("event_type").over(S.in_order())))
     return runs.groupBy("track", "island").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.round(F.max("end_s") - F.min("start_s"), 3).alias("seconds"))
 
 
@@ -230,7 +230,7 @@ def display_bpm(spark, sf_dir):
 def key_segments(spark, sf_dir):
     """Segments as windows, their onset's fraction as the confidence."""
     sure = _onset(spark, sf_dir).select("track", "idx", (F.col("x") - F.floor("x")).alias("confidence"))
-    w = _segs(spark, sf_dir).join(sure, ["track", "idx"]).select("track", "idx", ((F.col("start_s") + F.col("end_s")) / 2).alias("at"), "key_idx", "confidence", F.lit(0.0).alias("lo"), F.max("end_s").over(S.WHOLE).alias("hi"))
+    w = _segs(spark, sf_dir).join(sure, ["track", "idx"]).select("track", "idx", ((F.col("start_s") + F.col("end_s")) / 2).alias("at"), "key_idx", "confidence", F.lit(0.0).alias("lo"), F.max("end_s").over(S.whole_track()).alias("hi"))
     return _rounded(S.key_segments(w).select("track", "island", "start_s", "end_s", "key_idx", "confidence", "windows"), start_s=3, end_s=3, confidence=5)
 
 
@@ -239,7 +239,7 @@ def key_majority(spark, sf_dir):
 
 
 def key_alternate(spark, sf_dir):
-    segs = _segs(spark, sf_dir).withColumn("home", F.first("key_idx").over(S.TRACK.rowsBetween(Window.unboundedPreceding, 0)))
+    segs = _segs(spark, sf_dir).withColumn("home", F.first("key_idx").over(S.in_order().rowsBetween(Window.unboundedPreceding, 0)))
     total = segs.groupBy("track").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("total"))
     held = segs.where("key_idx <> home").groupBy("track", "key_idx").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("d"), F.max("idx").alias("last"))
     best = held.groupBy("track").agg(F.max(F.struct("d", "last", "key_idx")).alias("b")).join(total, "track")
@@ -252,7 +252,7 @@ def longest_segment(spark, sf_dir):
 
 
 def key_boundaries(spark, sf_dir):
-    edge = _segs(spark, sf_dir).withColumn("p", F.lag("key_idx").over(S.TRACK)).where("p <> key_idx")
+    edge = _segs(spark, sf_dir).withColumn("p", F.lag("key_idx").over(S.in_order())).where("p <> key_idx")
     return edge.select("track", F.round("start_s", 3).alias("at"))
 
 
