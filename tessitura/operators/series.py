@@ -49,11 +49,11 @@ def autocorrelation(series: DataFrame, most: int) -> DataFrame:
 
 
 def base_score(corr: DataFrame, hist: DataFrame, least: int) -> DataFrame:
-    """track, lag, s: 0.65 of the smoothed histogram over its largest count and 0.35 of the best neighbouring correlation."""
+    """track, lag, r, h, s: 0.65 of the smoothed histogram over its largest count and 0.35 of the best neighbouring correlation."""
     top = hist.groupBy("track").agg(F.max("h").alias("top"))
     grid = corr.join(hist, ["track", "lag"], "left").join(top, "track", "left").fillna(0.0, ["h", "top"])
     near = Window.partitionBy("track").orderBy("lag").rowsBetween(-1, 1)
-    scored = grid.select("track", "lag", (0.65 * F.sum("h").over(near) / F.greatest("top", F.lit(EPS)) + 0.35 * F.greatest(F.max("r").over(near), F.lit(0.0))).alias("s"))
+    scored = grid.select("track", "lag", "r", "h", (0.65 * F.sum("h").over(near) / F.greatest("top", F.lit(EPS)) + 0.35 * F.greatest(F.max("r").over(near), F.lit(0.0))).alias("s"))
     return scored.where(F.col("lag") >= least)
 
 

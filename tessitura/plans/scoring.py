@@ -74,10 +74,9 @@ def mel_scale(spark, sf_dir):
 
 
 def profile_learning(spark, sf_dir):
-    from .signals import frames
+    from .signals import folded
 
-    f = frames(spark, sf_dir).where("frame_idx = 0")
-    return E.learn_profiles(f, F.pmod("track", F.lit(24)).cast("int"), F.col("v"))
+    return E.learn_profiles(folded(spark, sf_dir), F.pmod("track", F.lit(24)).cast("int"), F.col("v"))
 
 
 REL = """CASE WHEN expected_key IS NULL OR detected_key IS NULL THEN NULL WHEN expected_key = detected_key THEN 'exact'
@@ -118,9 +117,9 @@ ORACLE = {k: with_views(v, "duckdb") for k, v in ORACLE.items()}
 
 
 def _profile_sql() -> str:
-    from .signals import FRAMES_SQL
+    from .signals import FOLDED_SQL
 
-    return f"WITH {FRAMES_SQL}, r AS (SELECT (track % 24) >= 12 AS minor, ((bin - track % 12 + 12) % 12)::INTEGER AS degree, x FROM frames WHERE frame_idx = 0) SELECT minor, degree, round(median(x), 6) AS weight FROM r GROUP BY minor, degree"
+    return f"WITH {FOLDED_SQL}, r AS (SELECT (track % 24) >= 12 AS minor, ((bin - track % 12 + 12) % 12)::INTEGER AS degree, x FROM folded) SELECT minor, degree, round(median(x), 6) AS weight FROM r GROUP BY minor, degree"
 
 
 ORACLE["profile_learning"] = _profile_sql()

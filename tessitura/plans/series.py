@@ -146,8 +146,7 @@ def _query(name: str):
 
 
 def _cand(spark, sf_dir):
-    base = run_sql(spark, sf_dir, f"WITH {CORR}, {PEAKS}, {HIST}, {BASE} SELECT * FROM base")
-    return T.family(T.gather(base), RATE, MIN_LAG)
+    return T.family(T.gather(_base(spark, sf_dir)), RATE, MIN_LAG)
 
 
 def tempo_candidates(spark, sf_dir):
@@ -193,9 +192,13 @@ def autocorrelation(spark, sf_dir):
     return _rounded(S.autocorrelation(_onset(spark, sf_dir), MAX_LAG), r=6)
 
 
-def tempo_base_score(spark, sf_dir):
+def _base(spark, sf_dir):
     onset = _onset(spark, sf_dir)
-    return _rounded(S.base_score(S.autocorrelation(onset, MAX_LAG), S.interval_histogram(S.peaks(onset), MIN_LAG, MAX_LAG), MIN_LAG), s=5)
+    return S.base_score(S.autocorrelation(onset, MAX_LAG), S.interval_histogram(S.peaks(onset), MIN_LAG, MAX_LAG), MIN_LAG)
+
+
+def tempo_base_score(spark, sf_dir):
+    return _rounded(_base(spark, sf_dir).select("track", "lag", "s"), s=5)
 
 
 def tempo_islands(spark, sf_dir):

@@ -75,21 +75,31 @@ def chroma_weighted_median(spark, sf_dir):
     return weighted.select("track", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(11)), pick)).alias("bin", "x")).select("track", "bin", F.round("x", 6).alias("x"))
 
 
-def _first_scores(spark, sf_dir) -> DataFrame:
-    return frames(spark, sf_dir).where("frame_idx = 0").select("track", "v", C.key_scores(F.col("v")).alias("scores"))
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, v: all |x| of a clip folded onto twelve bins, normalised."""
+    fold = lambda b: F.aggregate(F.filter("samples", lambda x, i: i % 12 == b), F.lit(0.0), lambda s, x: s + F.abs(x))
+    return clips(spark, sf_dir).select("track", F.transform(F.sequence(F.lit(0), F.lit(11)), fold).alias("raw")).select("track", C.normalize(F.col("raw")).alias("v"))
+
+
+FOLDED_SQL = """ch AS (SELECT vec_id AS track, (i - 1) % 12 AS bin, sum(abs(embedding[i]::DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) GROUP BY vec_id, (i - 1) % 12),
+folded AS (SELECT track, bin, x / sum(x) OVER (PARTITION BY track) AS x FROM ch)"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    return folded(spark, sf_dir).select("track", "v", C.key_scores(F.col("v")).alias("scores"))
 
 
 def key_scores(spark, sf_dir):
-    return _first_scores(spark, sf_dir).select("track", F.posexplode("scores").alias("key", "s")).select("track", "key", F.round("s", 6).alias("score"))
+    return _scores(spark, sf_dir).select("track", F.posexplode("scores").alias("key", "s")).select("track", "key", F.round("s", 6).alias("score"))
 
 
 def key_classify(spark, sf_dir):
-    top = _first_scores(spark, sf_dir).select("track", "v", C.top_two(F.col("scores")).alias("top"))
+    top = _scores(spark, sf_dir).select("track", "v", C.top_two(F.col("scores")).alias("top"))
     return top.select("track", F.get("top", F.lit(0))["key"].alias("best"), F.get("top", F.lit(1))["key"].alias("second"), C.choose_key(F.col("v"), F.col("top")).alias("chosen"), F.round(C.confidence(F.col("top")), 5).alias("confidence"))
 
 
 _TEMPLATE = "tmpl(key, bin, p) AS (VALUES " + ", ".join(f"({k}, {b}, {float(x)!r}::DOUBLE)" for k, row in enumerate(template()) for b, x in enumerate(row)) + ")"
-SCORES_SQL = f"""{FRAMES_SQL}, {_TEMPLATE}, c AS (SELECT track, bin, x, x - avg(x) OVER (PARTITION BY track) AS d FROM frames WHERE frame_idx = 0),
+SCORES_SQL = f"""{FOLDED_SQL}, {_TEMPLATE}, c AS (SELECT track, bin, x, x - avg(x) OVER (PARTITION BY track) AS d FROM folded),
 n AS (SELECT track, bin, x, d / greatest(sqrt(sum(d * d) OVER (PARTITION BY track)), 1.1920929e-07::DOUBLE) AS d FROM c),
 scores AS (SELECT track, key::INTEGER AS key, sum(p * d) AS s FROM n JOIN tmpl USING (bin) GROUP BY track, key)"""
 
@@ -117,7 +127,7 @@ SELECT track, bin::INTEGER AS bin, round(list_sort(list(x * w))[3], 6) AS x FROM
     "key_scores": f"WITH {SCORES_SQL} SELECT track, key, round(s, 6) AS score FROM scores",
     "key_classify": f"""WITH {SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY s DESC, key % 12, key) AS rn FROM scores),
 t AS (SELECT a.track, a.key AS best, b.key AS second, a.s AS s1, b.s AS s2 FROM r a JOIN r b ON a.track = b.track AND a.rn = 1 AND b.rn = 2),
-q AS (SELECT t.*, x.x AS e1, y.x AS e2 FROM t JOIN frames x ON x.track = t.track AND x.frame_idx = 0 AND x.bin = best % 12 JOIN frames y ON y.track = t.track AND y.frame_idx = 0 AND y.bin = second % 12)
+q AS (SELECT t.*, x.x AS e1, y.x AS e2 FROM t JOIN folded x ON x.track = t.track AND x.bin = best % 12 JOIN folded y ON y.track = t.track AND y.bin = second % 12)
 SELECT track, best, second, CASE WHEN s1 - s2 <= 0.05 AND e2 > e1 * 1.2::DOUBLE AND ((best < 12 AND second >= 12 AND (best + 9) % 12 = second - 12) OR (best >= 12 AND second < 12 AND (second + 9) % 12 = best - 12)) THEN second ELSE best END AS chosen,
 round(CASE WHEN abs(s1) > 1.1920929e-07::DOUBLE THEN greatest(0, least(1, (s1 - s2) / abs(s1))) ELSE 0 END, 5) AS confidence FROM q""",
 }
