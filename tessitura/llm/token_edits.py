@@ -10,20 +10,22 @@ Leaves are blocks of BLOCK pre-tokens, so a splice rewrites one small block and
 document. Documents are independent: one Arrow pass, no shuffle, memory bounded by the longest text.
 
 Null text has 0 tokens and takes no edit; empty text has 0. Edits are applied in the order given, each
-in the coordinates of the text it meets; bounds are clipped to the text. Repeated rows count alike.
+in the coordinates of the text it meets; bounds are clipped to the text. Repeated rows count alike. The vocabulary is a
+parameter, read on the driver and broadcast. Columns beyond doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import os
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 BLOCK, CONTEXT = 64, 2
@@ -31,10 +33,17 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def vocabulary_bytes(path: str, spark: SparkSession | None = None) -> bytes:
+    """A vocabulary file, read on the driver: a local one, or with ``spark`` one in any store that Spark reads."""
+    if spark is None or os.path.isfile(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def encoder(vocabulary: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -44,8 +53,8 @@ _cut = regex.compile(PATTERN)
 class Counter(dict):
     """Token counts of pre-tokens, remembered; the memory is emptied when it holds ``limit`` of them."""
 
-    def __init__(self, path: str = VOCABULARY, limit: int = 400_000):
-        self.encoding = encoder(path)
+    def __init__(self, vocabulary: bytes | None = None, limit: int = 400_000):
+        self.encoding = encoder(vocabulary or vocabulary_bytes(VOCABULARY))
         self.limit = limit
 
     def __missing__(self, part: str) -> int:
@@ -190,9 +199,9 @@ def standard_edits(text: str, item: int) -> list[tuple[int, int, str]]:
     return [(a, a + 12, "[removed]"), (b, b + 40, ""), (c, c, " and it's 3 more\n")]
 
 
-def _run(path: str, edits, check: bool):
+def _run(vocabulary, edits, check: bool):
     def run(batches):
-        counter = Counter(path)
+        counter = Counter(vocabulary.value)
         for batch in batches:
             out = []
             for item, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -215,4 +224,6 @@ def _run(path: str, edits, check: bool):
 def count_report(docs: DataFrame, vocabulary: str = VOCABULARY, edits=standard_edits, check: bool = False) -> DataFrame:
     """doc_id, tokens, edited_tokens (after the edits), pre_tokens, reread (pre-tokens encoded again) for every document."""
     rows = docs.selectExpr("cast(doc_id as long) AS doc_id", "text")
-    return rows.mapInArrow(_run(vocabulary, edits, check), "doc_id long, tokens long, edited_tokens long, pre_tokens long, reread long")
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(vocabulary_bytes(vocabulary, spark))  # under a megabyte; executors need no file of their own
+    return rows.mapInArrow(_run(shipped, edits, check), "doc_id long, tokens long, edited_tokens long, pre_tokens long, reread long")
