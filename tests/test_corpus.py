@@ -11,6 +11,7 @@ from tessitura.functions import kernels as N
 from tessitura.operators import corpus as C
 from tessitura.operators import series as S
 from tessitura.operators.analysis import ANALYSIS, analyze_samples
+from tessitura.plans import governance as G
 from tessitura.sources import audio, predictions
 from tessitura.sources import manifest as M
 from tessitura.streaming.incremental import analyze_arrivals
@@ -218,3 +219,25 @@ def test_aiff_equals_wav(folder):
     for bad in (b"", b"FORM" + bytes(20), aiff(np.zeros(0))):
         with pytest.raises(ValueError):
             audio.decode_aiff(bad)
+
+
+def test_a_sealed_corpus_is_evaluated_once_configured(tmp_path):
+    manifest, config, policy, ledger, receipt = (str(tmp_path / n) for n in ("m.json", "c.json", "p.json", "l.json", "r/receipt.json"))
+    M.save_json({"version": 1, "tracks": [{"id": "own-1", "path": "a.wav"}, {"id": "x", "path": "b.wav", "source": {"name": "Known"}}]}, manifest)
+    M.save_json({"a": 1}, config)
+    M.save_json({"development_corpora": [{"name": "dev", "id_prefixes": ["dev-"]}, {"name": "known", "source_names": ["Known"]}]}, policy)
+    with pytest.raises(G.PolicyError, match="known"):
+        G.seal(ledger, manifest, "c", config, policy)
+    M.save_json({"development_corpora": [{"name": "dev", "id_prefixes": ["dev-"]}]}, policy)
+    with pytest.raises(G.PolicyError):
+        G.authorize(ledger, manifest, "c", "evaluation", config)
+    corpus = G.seal(ledger, manifest, "c", config, policy, receipt)
+    assert json.load(open(receipt))["corpus_sha256"] == corpus and G.authorize(ledger, manifest, "c", "evaluation", config) == corpus
+    with pytest.raises(G.PolicyError):
+        G.seal(ledger, manifest, "c", config, policy)
+    M.save_json({"a": 2}, config)
+    with pytest.raises(G.PolicyError):
+        G.authorize(ledger, manifest, "c", "evaluation", config)
+    assert G.checked_model(config, M.file_digest(config)) == config
+    with pytest.raises(G.PolicyError):
+        G.checked_model(config, "0" * 64)
