@@ -8,7 +8,7 @@ the other, at a lower weight than labelled ones. Then each view is calibrated ap
 documents kept out of fitting) and a logistic combination of the calibrated views scores every document.
 
 Labelled documents: at most ``max_labelled`` by hash order, outside the held-out fold (crc32(doc_id) mod 5 = 0). Unlabelled
-ones: all outside that fold, in every round; a round is one pass of Arrow batches whose tasks return one row of sums
+ones: all others outside that fold, in every round (labels beyond the sample aren't looked at); a round is one pass of Arrow batches whose tasks return one row of sums
 each (2 x (TEXT_DIM + META_DIM) numbers), added up in a tree of groups. Scoring is one more such pass. Texts are read whole.
 
 Null text is empty; null metadata is a value of its own. Empty texts get a score like any other. Of clashing labels of one
@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, rounds:
     if len(set(spare[2])) < 2:
         spare = text.astype(np.float32), meta, label
     model.calibrate(*spare)
-    free = rows.where(F.col("doc_id").isNotNull() & ~held_out()).join(usable.select("doc_id"), "doc_id", "left_anti")
+    # At most max_labelled ids: a broadcast of bounded size, so no text moves.
+    free = rows.where(F.col("doc_id").isNotNull() & ~held_out()).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")
     for _ in range(rounds):
         sums = free.mapInArrow(_teach(model), "sums binary").repartition(16).mapInArrow(_add, "sums binary").collect()  # 16 rows at most
         if not sums:
