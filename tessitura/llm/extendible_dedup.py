@@ -80,7 +80,8 @@ def _judged(docs: DataFrame, scratch: Scratch, key_of, capacity: int) -> DataFra
     taken = scratch.cut(many.select(slot_of(F.col("key")).alias("s")).distinct(), "slots")
     member = _bucketed(read.join(F.broadcast(taken), slot_of(F.col("key")) == F.col("s"), "left_semi"), slots)
     rep = member.join(many, ["bucket", "key"]).where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("points") == F.col("rep_points")))
-    rep = rep.groupBy("bucket", "key").agg(F.min("body").alias("rep_body"))
+    # Written between, so that the join's hot keys can be split: one row or a few of each key are left.
+    rep = scratch.cut(rep.select("bucket", "key", "body"), "representatives").groupBy("bucket", "key").agg(F.min("body").alias("rep_body"))
     odd = scratch.cut(member.join(rep, ["bucket", "key"]).where(F.col("body") != F.col("rep_body")).select("bucket", "key").distinct(), "collisions")
     rows = _bucketed(entries, slots)
     out = ["doc_id", "points", "sha", "n", "rep_id", "rep_points", (F.col("row") == F.col("rep_row")).alias("kept")]
