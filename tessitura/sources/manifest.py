@@ -76,15 +76,19 @@ def find_annotations(spark: SparkSession, root: str, kind: str) -> str:
     raise FileNotFoundError(f"no {kind} annotations under {root}")
 
 
-def audio_paths(items: DataFrame, files: DataFrame, nested: bool = False) -> DataFrame:
-    """items with path and found. ``files``: path, relative to the audio folder. ``nested``: six-digit ids in folders of their first three digits, where such a file exists."""
+def audio_paths(items: DataFrame, files: DataFrame, nested: bool = False, of: tuple[str, ...] = ()) -> DataFrame:
+    """items with path and found. ``files``: path, relative to the audio folder. ``nested``: six-digit ids in folders of their first three digits, where such a file exists.
+
+    ``of``: columns of both that tell whose file it is; an item is then looked for among its own files only, whatever others are called.
+    """
     plain = F.concat("item", F.lit(".mp3"))
     deep = F.concat(F.substring("item", 1, 3), F.lit("/"), plain)
-    known = files.select(F.col("path").alias("__file")).distinct()
-    flat = items.join(known, plain == F.col("__file"), "left").withColumn("__flat", F.col("__file").isNotNull()).drop("__file")
+    known = files.select(F.col("path").alias("__file"), *[F.col(c).alias(f"__{c}") for c in of]).distinct()
+    look = lambda rows, path: rows.join(known, [path == F.col("__file"), *[F.col(c) == F.col(f"__{c}") for c in of]], "left")
+    flat = look(items, plain).withColumn("__flat", F.col("__file").isNotNull()).drop(*known.columns)
     if not nested:
         return flat.select(*items.columns, plain.alias("path"), F.col("__flat").alias("found"))
-    both = flat.join(known, deep == F.col("__file"), "left")
+    both = look(flat, deep)
     return both.select(*items.columns, F.when(F.col("__file").isNotNull(), deep).otherwise(plain).alias("path"), (F.col("__flat") | F.col("__file").isNotNull()).alias("found"))
 
 
@@ -178,13 +182,16 @@ def read_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_key_table(spark: SparkSession, path: str) -> DataFrame:
-    """item, key from CSV metadata: columns track_id or id, and key_and_mode or key and mode, in any spelling of case and spaces."""
+    """item, key from CSV metadata: columns track_id or id, and key_and_mode or key and mode, in any spelling of case and spaces.
+
+    Ids are padded to six digits; longer ones stay whole.
+    """
     csv = spark.read.csv(path, header=True, quote='"', escape='"')
     named = csv.toDF(*[c.strip().lower().replace(" ", "_").replace("-", "_") for c in csv.columns])
-    item = F.col("track_id" if "track_id" in named.columns else "id")
+    item = F.trim("track_id" if "track_id" in named.columns else "id")
     mode = lambda c: F.lower(F.trim(c))
     both = F.trim(F.col("key_and_mode")) if "key_and_mode" in named.columns else F.concat_ws(" ", F.trim("key"), mode(F.col("mode")))
-    return named.select(F.lpad(F.trim(item), 6, "0").alias("item"), both.alias("key")).where(F.col("key") != "")
+    return named.select(F.lpad(item, F.greatest(F.length(item), F.lit(6)), "0").alias("item"), both.alias("key")).where(F.col("key") != "")
 
 
 def consensus(annotations: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import wave
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tessitura.functions import kernels as N
 from tessitura.operators import corpus as C
 from tessitura.operators import series as S
 from tessitura.operators.analysis import ANALYSIS, analyze_samples
+from tessitura.plans import corpus as P
 from tessitura.plans import governance as G
 from tessitura.sources import audio, predictions
 from tessitura.sources import manifest as M
@@ -241,3 +243,22 @@ def test_a_sealed_corpus_is_evaluated_once_configured(tmp_path):
     assert G.checked_model(config, M.file_digest(config)) == config
     with pytest.raises(G.PolicyError):
         G.checked_model(config, "0" * 64)
+
+
+def test_long_ids_keep_their_own_files(spark, tmp_path):
+    """Keys of more than six digits whose items are equal, odd line numbers and a null: as the SQL has them."""
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT * FROM (VALUES (100000), (1000001), (1000002), (7), (8), (9), (NULL)) t(p_partkey)) TO '{tmp_path}/part.parquet'")
+    lines = "(100000, 1, 40.0), (1000001, 2, 40.0), (1000002, 1, 3.0), (7, 4, 31.0), (7, 1, 31.0), (8, NULL, 31.0), (9, -1, 31.0), (NULL, 2, 31.0)"
+    duck.sql(f"COPY (SELECT * FROM (VALUES {lines}) t(l_partkey, l_linenumber, l_quantity)) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    key = lambda r: tuple(map(str, r))
+    got = P.import_paths(spark, str(tmp_path)).select("item", "path", "found").collect()
+    assert sorted(map(key, got)) == sorted(map(key, duck.sql(P.ORACLE["import_paths"]).fetchall()))
+    assert sorted(map(key, got))[3:6] == [("100000", "100/100000.mp3", "True"), ("100000", "100000.mp3", "False"), ("100000", "100000.mp3", "True")]
+
+
+def test_key_table_pads_and_keeps_long_ids(spark, tmp_path):
+    (tmp_path / "keys.csv").write_text("Track ID,Key and Mode\n 12,A minor\n1234567,C major\n")
+    assert {tuple(r) for r in M.read_key_table(spark, str(tmp_path / "keys.csv")).collect()} == {("000012", "A minor"), ("1234567", "C major")}
