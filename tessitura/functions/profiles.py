@@ -6,6 +6,8 @@ two standardised vectors, so the mean is one dot product with the mean of the st
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 #: By scale degree: Krumhansl, Temperley, electronic dance and learned, each major then minor.
@@ -25,9 +27,12 @@ DEGREES = (
 )
 
 
+@functools.cache
 def template() -> np.ndarray:
     """[24, 12]: row tonic + 12 * minor; a chroma's score is row @ ((chroma - mean) / norm)."""
     p = np.array(DEGREES, np.float64).transpose(1, 2, 0)  # family, mode, degree
     p = p - p.mean(2, keepdims=True)
     p = (p / np.linalg.norm(p, axis=2, keepdims=True)).mean(0)
-    return np.array([np.roll(p[mode], tonic) for mode in (0, 1) for tonic in range(12)])
+    out = np.array([np.roll(p[mode], tonic) for mode in (0, 1) for tonic in range(12)])
+    out.setflags(write=False)
+    return out

@@ -98,14 +98,12 @@ def reranker_forward(spark, sf_dir):
     def run(batches):
         w = K.unpack_weights(weights)
         for pdf in batches:
-            rows = []
-            for track, x in zip(pdf["track"], pdf["samples"]):
-                f = np.abs(np.asarray(x)[:60]).reshape(5, 12)
-                logits = K.rerank(f, K.key_scores(K.l1(f[0])), w)
-                rows.append((track, int(np.flatnonzero(logits == logits.max())[-1]), float(logits.max())))
-            yield pd.DataFrame(rows, columns=["track", "key", "logit"])
+            if len(pdf):
+                f = np.abs(np.stack([np.asarray(x)[:60].reshape(5, 12) for x in pdf["samples"]]))
+                logits = K.rerank_all(f, np.stack([K.key_scores(v) for v in K.l1(f[:, 0])]), w)
+                yield pd.DataFrame({"track": pdf["track"], "key": 23 - logits[:, ::-1].argmax(1), "logit": logits.max(1)})
 
-    return clips(spark, sf_dir).mapInPandas(run, "track long, key int, logit double")
+    return clips(spark, sf_dir, dealt=True).mapInPandas(run, "track long, key int, logit double")
 
 
 def log_mel(spark, sf_dir):

@@ -10,8 +10,11 @@ from ..functions.profiles import template
 from ..operators import waveform as W
 
 
-def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def clips(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """track, samples. ``dealt``: over spark.sql.shuffle.partitions tasks, for work that outweighs moving the clips: a file of one row group is one task."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    if dealt:
+        e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return e.select(F.col("vec_id").alias("track"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
 
 

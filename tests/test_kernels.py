@@ -1,12 +1,14 @@
 import io
 import json
 import threading
+import time
 import wave
 
 import numpy as np
 import pytest
 
 from tessitura.functions import kernels as K
+from tessitura.functions.profiles import template
 from tessitura.operators import analysis as A
 from tessitura.plans import governance as G
 from tessitura.sources import manifest as M
@@ -112,6 +114,64 @@ def test_reranker_padding_is_silence():
         K.unpack_weights(np.zeros(5))
 
 
+def test_reranker_silence_once_equals_every_row():
+    """Tracks together against the plain forward pass over all 256 rows, from no frames to more than fit."""
+    w = K.unpack_weights(np.random.default_rng(5).normal(0, 0.3, 21528))
+
+    def plain(frames, scores):
+        norm = lambda v, g, b: (v - v.mean(-1, keepdims=True)) / np.sqrt(v.var(-1, keepdims=True) + 1e-5) * g + b
+        x = np.zeros((256, 12))
+        x[: len(frames)] = K.l1(np.abs(frames[:256]))
+        h = np.array([[w["conv_b"][c] + sum(w["conv"][c, j] * r[(p + j - 1) % 12] for j in range(3)) for c in range(3) for p in range(12)] for r in x]) + w["position"]
+        q, k, v = np.split(norm(h, w["n1"], w["n1_b"]) @ w["proj"].T + w["proj_b"], 3, 1)
+        ctx = []
+        for at in range(0, 36, 9):
+            e = np.exp(q[:, at : at + 9] @ k[:, at : at + 9].T / 3)
+            ctx.append(e / e.sum(1, keepdims=True) @ v[:, at : at + 9])
+        h = h + np.hstack(ctx) @ w["out"].T + w["out_b"]
+        h = h + np.maximum(norm(h, w["n2"], w["n2_b"]) @ w["up"].T + w["up_b"], 0) @ w["down"].T + w["down_b"]
+        return norm(h.mean(0), w["n"], w["n_b"]) @ w["head"].T + w["head_b"] + w["prior"] @ scores
+
+    rng = np.random.default_rng(6)
+    for t in (0, 1, 5, 255, 256, 260):
+        f, s = np.abs(rng.normal(size=(5, t, 12))), rng.normal(size=(5, 24))
+        f[1] = 0
+        want = [plain(a, b) for a, b in zip(f, s)]
+        assert np.allclose(K.rerank_all(f, s, w, 2), want, atol=1e-11)
+        assert np.allclose(K.rerank(f[0], s[0], w), want[0], atol=1e-11)
+
+
+def test_reranker_deals_out_one_file(spark):
+    """All clips of a file that is one row group, over more than one task, each with the logit of its own forward pass."""
+    from tessitura.plans.kernels import reranker_forward
+    from tessitura.plans.signals import clips
+
+    d = "/root/testdata/sf0.001"
+    df = reranker_forward(spark, d)
+    assert clips(spark, d).rdd.getNumPartitions() == 1 < df.rdd.getNumPartitions()
+    got = {r["track"]: r for r in df.collect()}
+    rows = clips(spark, d).collect()
+    assert len(got) == len(rows) == df.count()
+    w = K.unpack_weights(np.random.Generator(np.random.PCG64(1729)).normal(0, 0.05, 21528))
+    for r in rows[::50]:
+        f = np.abs(np.array(r["samples"][:60])).reshape(5, 12)
+        want = K.rerank(f, K.key_scores(K.l1(f[0])), w)
+        assert abs(got[r["track"]]["logit"] - want.max()) < 1e-11 and got[r["track"]]["key"] == want.argmax()
+
+
+def test_reranker_cost_is_by_frames():
+    """Tracks of five frames take far less than those whose frames fill all 256 rows."""
+    w = K.unpack_weights(np.random.default_rng(0).normal(0, 0.1, 21528))
+    f, s = np.abs(np.random.default_rng(1).normal(size=(64, 256, 12))), np.zeros((64, 24))
+    took = []
+    for frames in (f[:, :5], f):
+        began = time.process_time()
+        K.rerank_all(frames, s, w)
+        took.append(time.process_time() - began)
+    assert took[0] * 3 < took[1]
+    assert template() is template()
+
+
 def test_wav_downmix():
     out = io.BytesIO()
     with wave.open(out, "wb") as f:
